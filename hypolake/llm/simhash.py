@@ -161,3 +161,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tops = nodes.join(groups, nodes["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(nodes, groups["fp"] == nodes["node"], "left").join(tops, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return docs.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """df with one row of each component: that of the smallest id."""
+    named = near_duplicates(df, id_col, text_col, shingle, max_bits)
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
+    return df.join(kept, df[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])

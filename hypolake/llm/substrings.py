@@ -3,17 +3,19 @@
 Seeds: the winnowing anchors of a text are the smallest hashes of SEED-word runs
 in each window of ``length`` words, so two places that share ``length`` words
 share an anchor at the same offset. Only anchors that occur twice or more in the
-corpus go on; the text around such an anchor is extended to the left and to the
-right over every window of ``length`` words that has it as its own anchor. Equal
-windows meet by their hash (96 bits), the earliest keeps its words, and
-neighbouring repeated windows add up to the maximal repeats. The work is linear
-in the occurrences: a passage that stands in n documents gives n rows for each
-window, never n^2 pairs, and no group is gathered in one task.
+corpus go on. Each is extended to the left and to the right over its span: all
+windows of ``length`` words that have it as their own anchor. Spans that are
+equal as a whole meet first, and only the earliest of each goes on; where an
+anchor has different spans, their single windows are compared. The earliest
+occurrence keeps its words, and neighbouring repeated windows add up to the
+maximal repeats. The work is linear in the occurrences: a passage that stands in
+n documents gives n rows for each anchor, never n^2 pairs, and no group is
+gathered in one task. Equal spans and windows meet by hashes of 96 bits.
 
 Defined cases: a null or empty text has no words, and one shorter than
 ``length`` loses none; repeated rows (same id, same text) are one document and
-come out once each; rows of one id with different texts are ordered by a hash
-of the text; a null id comes before all others; an empty table gives an empty
+come out once each; what only rows of one id share stays (beyond repeats within
+one text); a null id comes before all others; an empty table gives an empty
 result; columns other than the two named are ignored.
 """
 
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.llm.common import written
+
 LENGTH, SEED = 20, 6
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -40,9 +44,35 @@ def _rolling(words, width: int, base: int):
     for j in range(width):
         out += words[j : j + len(out)] * np.uint64(power)
         power = power * base & (1 << 64) - 1
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    return _mixed(out)
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(29))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+_POWERS: list = []
+
+
+def _powers(n: int):
+    """Powers of BASES[1] and of its inverse modulo 2^64, at least n of each; kept for texts of usual length."""
+    import numpy as np
+
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(4096, n)
+        made = []
+        for base in (BASES[1], pow(BASES[1], -1, 1 << 64)):
+            factors = np.full(size, np.uint64(base))
+            factors[0] = 1
+            made.append(np.multiply.accumulate(factors))
+        if size > 1 << 20:
+            return made
+        _POWERS[:] = made
+    return _POWERS
 
 
 def word_hashes(words: list[bytes]):
@@ -61,50 +91,89 @@ def own_anchors(hashes, length: int, seed: int):
     return seeds, np.arange(len(view)) + view.argmin(axis=1)
 
 
-def _anchors(length: int, seed: int):
+def _spans(length: int, seed: int):
+    """For every anchor: its hash, the hash of its span (16 times the first window's start, plus the number of further windows) and whether the span is in the text before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            rows, anchors, places = [], [], []
+            rows, cols = [], [[], [], [], []]
             for i, text in enumerate(batch.column(2)):
                 words = text.as_py().encode().split()
-                if len(words) >= length:
-                    seeds, at = own_anchors(word_hashes(words), length, seed)
-                    at = np.unique(at)
-                    rows.append(np.full(len(at), i))
-                    anchors.append(seeds[at].view(np.int64))
-                    places.append(at.astype(np.int32))
+                if len(words) < length:
+                    continue
+                hashes = word_hashes(words)
+                seeds, own = own_anchors(hashes, length, seed)
+                at, lo, n = np.unique(own, return_index=True, return_counts=True)
+                # hash of the span's words from prefix sums: sum of h[j] * B^j, times B^-lo
+                powers = _powers(len(words))
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[0][: len(words)], dtype=np.uint64)])
+                span = (sums[lo + n - 1 + length] - sums[lo]) * powers[1][lo] + n.astype(np.uint64) * np.uint64(BASES[2])
+                span = (_mixed(span) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                key = seeds[at] ^ span.astype(np.uint64) << np.uint64(31)
+                first = np.zeros(len(at), bool)
+                first[np.unique(key, return_index=True)[1]] = True
+                rows.append(np.full(len(at), i))
+                for col, x in zip(cols, (seeds[at].view(np.int64), span, lo.astype(np.int64) * 16 + n - 1, ~first)):
+                    col.append(x)
             if rows:
                 take = pa.array(np.concatenate(rows))
-                cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(anchors)), pa.array(np.concatenate(places))]
-                yield pa.RecordBatch.from_arrays(cols, ["kd", "th", "anchor", "place"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(c)) for c in cols)], ["kd", "th", "anchor", "words", "span", "again"])
+
+    return run
+
+
+def _anchors(length: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            out = [np.zeros(0, np.uint64)]
+            for text in batch.column(0):
+                words = text.as_py().encode().split()
+                if len(words) >= length:
+                    seeds, own = own_anchors(word_hashes(words), length, seed)
+                    out.append(seeds[np.unique(own)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["anchor"])
 
     return run
 
 
-def _windows(length: int, seed: int):
+def _windows(length: int):
+    """Hashes of the single windows of spans, and whether a window is in the document's spans before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            rows, one, two, starts = [], [], [], []
-            for i, (text, places) in enumerate(zip(batch.column(2), batch.column(3))):
+            rows, cols = [], [[], [], [], []]
+            for i, (text, spans) in enumerate(zip(batch.column(2), batch.column(3))):
                 hashes = word_hashes(text.as_py().encode().split())
-                _, at = own_anchors(hashes, length, seed)
-                s = np.flatnonzero(np.isin(at, places.values.to_numpy()))
+                s = starts_of(spans.values.to_numpy())
+                one = _rolling(hashes, length, BASES[1])[s].view(np.int64)
+                two = (_rolling(hashes, length, BASES[2])[s] >> np.uint64(33)).astype(np.int32)
+                first = np.zeros(len(s), bool)
+                first[np.unique(one, return_index=True)[1]] = True
                 rows.append(np.full(len(s), i))
-                one.append(_rolling(hashes, length, BASES[1])[s].view(np.int64))
-                two.append((_rolling(hashes, length, BASES[2])[s] >> np.uint64(33)).astype(np.int32))
-                starts.append(s.astype(np.int32))
+                for col, x in zip(cols, (one, two, s * 16, ~first)):
+                    col.append(x)
             if rows:
                 take = pa.array(np.concatenate(rows))
-                cols = [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(x)) for x in (one, two, starts))]
-                yield pa.RecordBatch.from_arrays(cols, ["kd", "th", "w1", "w2", "start"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(c)) for c in cols)], ["kd", "th", "w1", "w2", "span", "again"])
 
     return run
 
 
+def starts_of(spans):
+    """Sorted starts of all windows of spans."""
+    import numpy as np
+
+    lo, more = spans >> 4, spans & 15
+    grid = lo[:, None] + np.arange(16)[None, :]
+    return np.unique(grid[np.arange(16)[None, :] <= more[:, None]])
+
+
 def _rest(length: int, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -115,7 +184,7 @@ def _rest(length: int, id_col: str):
                 words = text.as_py().encode().split()
                 edges = np.zeros(len(words) + 1, np.int32)
                 if starts.is_valid:
-                    s = np.unique(starts.values.to_numpy())
+                    s = starts_of(starts.values.to_numpy())
                     edges[s] += 1
                     edges[s + length] -= 1
                 gone = np.cumsum(edges)[:-1] > 0
@@ -137,22 +206,28 @@ def _rest(length: int, id_col: str):
     return run
 
 
-def repeated_windows(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """kd, th, start of every window whose words also start earlier; base has kd, th, text."""
-    anchors = base.select("kd", "th", "text").mapInArrow(_anchors(length, seed), "kd long, th int, anchor long, place int")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    seeds = anchors.join(shared, "anchor", "left_semi").groupBy("kd", "th").agg(F.collect_set("place").alias("places"))
-    windows = base.join(seeds, ["kd", "th"]).select("kd", "th", "text", "places").mapInArrow(_windows(length, seed), "kd long, th int, w1 long, w2 int, start int")
-    place = F.struct("kd", "th", "start")
-    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
-    return windows.join(first, ["w1", "w2"]).where(place != F.col("first")).select("kd", "th", "start")
+def repeated_spans(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """kd, th, span of windows whose words also start earlier; base has kd, th, text."""
+    shared = base.select("text").mapInArrow(_anchors(length, seed), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    spans = base.select("kd", "th", "text").mapInArrow(_spans(length, seed), "kd long, th int, anchor long, words int, span long, again boolean")
+    seeds = written(spans.join(shared, "anchor", "left_semi"))
+    whole = seeds.groupBy("anchor", "words").agg(F.min("kd").alias("first"))
+    several = whole.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    placed = seeds.join(whole, ["anchor", "words"])
+    later = placed.where(F.col("again") | (F.col("kd") > F.col("first"))).select("kd", "th", "span")
+    ahead = placed.where(~F.col("again") & (F.col("kd") == F.col("first"))).join(several, "anchor", "left_semi").groupBy("kd", "th").agg(F.collect_set("span").alias("spans"))
+    windows = base.join(ahead, ["kd", "th"]).select("kd", "th", "text", "spans").mapInArrow(_windows(length), "kd long, th int, w1 long, w2 int, span long, again boolean")
+    windows = written(windows)
+    single = windows.groupBy("w1", "w2").agg(F.min("kd").alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
+    repeated = windows.join(single, ["w1", "w2"]).where(F.col("again") | (F.col("kd") > F.col("first"))).select("kd", "th", "span")
+    return later.unionByName(repeated)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Per row: n_words, n_removed (words in a window of ``length`` words that starts earlier, too), the digest of the other words joined by blanks, and the maximal repeats removed as spans of words."""
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("kd"), F.coalesce(text_col, F.lit("")).alias("text"))
-    base = base.select("id", "kd", F.hash("text").alias("th"), "text")
-    gone = repeated_windows(base.select("kd", "th", "text"), length, seed).groupBy("kd", "th").agg(F.collect_set("start").alias("starts"))
-    id_type = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_words long, n_removed long, kept_sha256 string, removed array<struct<first_word:bigint,n_words:bigint>>"
-    return base.join(gone, ["kd", "th"], "left").select("id", "text", "starts").mapInArrow(_rest(length, id_col), schema)
+    base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("kd"), F.coalesce(text_col, F.lit("")).alias("text"))
+    base = base.select("kd", F.hash("text").alias("th"), "text")
+    gone = repeated_spans(base, length, seed).groupBy("kd", "th").agg(F.collect_set("span").alias("spans"))
+    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first_word:bigint,n_words:bigint>>"
+    done = base.join(gone, ["kd", "th"], "left").select("kd", "text", "spans").mapInArrow(_rest(length, id_col), schema)
+    return done.withColumn(id_col, F.nullif(F.col(id_col), F.lit(FIRST_ID)).cast(df.schema[id_col].dataType))

@@ -200,3 +200,15 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
     return df.select(id_col, (remainder(id_col) == 0).alias("held_out"), text_col).mapInArrow(run, schema)
+
+
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """df's rows whose score is below the threshold, with all their columns."""
+    spec, at = (model.ordinary, model.toxic, model.weights), df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*spec).ready()
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
