@@ -192,7 +192,8 @@ def with_clause(body: str, bindings: dict[str, str] = BINDINGS) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} AS ({bindings[n]})" for n in needed)
-    return f"WITH {ctes}\n{body}"
+    own = re.match(r"\s*WITH\s", body)
+    return f"WITH {ctes},\n{body[own.end():]}" if own else f"WITH {ctes}\n{body}"
 
 
 class Entities:
