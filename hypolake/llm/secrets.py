@@ -78,8 +78,8 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns({f"f_{k}": c.cast("double") for k, c in columns.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """n labelled lines (path, line, label), made by rule from digests of their numbers: random values in the forms of keys and tokens, against placeholders, digests and identifiers in their usual surroundings."""
+def labelled_findings(spark: SparkSession, n: int = 4000, start: int = 0) -> DataFrame:
+    """n labelled lines from number start on (path, line, label), made by rule from digests of their numbers: random values in the forms of keys and tokens, against placeholders, digests and identifiers in their usual surroundings."""
     i = F.col("id").cast("string")
     hexes, more = F.sha2(F.concat(F.lit("a"), i), 256), F.sha2(F.concat(F.lit("b"), i), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "x")
@@ -112,7 +112,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         .otherwise(F.concat(F.lit("sha256-"), F.base64(F.unhex(more)), F.lit(" hash")))
     )
     label = F.pmod(F.col("id"), F.lit(2))
-    return spark.range(n).select(F.when(label == 1, code_path).otherwise(F.when(kind == 0, test_path).otherwise(code_path)).alias("path"), F.when(label == 1, good).otherwise(bad).alias("line"), label.cast("double").alias("label"))
+    return spark.range(start, start + n).select(F.when(label == 1, code_path).otherwise(F.when(kind == 0, test_path).otherwise(code_path)).alias("path"), F.when(label == 1, good).otherwise(bad).alias("line"), label.cast("double").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = 40, depth: int = 7, seed: int = 1) -> PipelineModel:

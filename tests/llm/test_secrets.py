@@ -1,0 +1,56 @@
+import hashlib
+import random
+
+import pytest
+from helpers import documents, hard_rows, text
+from pyspark.sql import functions as F
+
+from hypolake.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(secrets.labelled_findings(spark, 2000), trees=20)
+
+
+def key(i, n=40):
+    return hashlib.sha256(str(i).encode()).hexdigest()[:n]
+
+
+def test_findings_have_their_places(spark, model):
+    rng = random.Random(40)
+    rows = [(1, f"{text(rng, 10)}\nfirst é token = \"{key(1)}\" {text(rng, 5)}\nlast"), (2, f"API_KEY={key(2, 32)} and secret: '{key(3)}'"), (3, "password = changeme123"), (4, f"commit {key(4)}"), (5, "AKIA" + key(5, 16).upper() + " x")]
+    got = secrets.scan(documents(spark, rows), model).collect()
+    text_of = dict(rows)
+    for r in got:
+        line = text_of[r["doc_id"]].split("\n")[r["line_no"] - 1]
+        assert line[r["start"] - 1 : r["start"] - 1 + r["size"]] == r["value"]
+        assert r["value_sha256"] == hashlib.sha256(r["value"].encode()).hexdigest()
+    found = {(r["doc_id"], r["value"]) for r in got if r["is_secret"]}
+    assert {(1, key(1)), (2, key(2, 32)), (2, key(3))} <= found
+    assert not any(i in (3, 4) for i, _ in found)
+
+
+def test_held_out_findings(spark, model):
+    held = secrets.labelled_findings(spark, 1000, start=5000).withColumnRenamed("line", "text").withColumn("doc_id", F.monotonically_increasing_id())
+    got = secrets.scan(held, model, path_col="path").join(held.select("doc_id", "label"), "doc_id").select("label", "is_secret").collect()
+    assert sum(bool(r["label"]) == r["is_secret"] for r in got) / len(got) > 0.95
+
+
+def test_hard_rows(spark, model):
+    hard = documents(spark, [*hard_rows(random.Random(41)), (30, "token = \x01" + key(9)), (31, f"token = {key(8)}"), (31, f"token = {key(8)}")])
+    got = secrets.scan(hard, model).collect()
+    assert sum(r["doc_id"] == 31 for r in got) == 2
+    clean = secrets.redacted(hard, model)
+    assert clean.columns == hard.columns and clean.count() == hard.count()
+    assert {r["text"] for r in clean.where("doc_id = 31").collect()} == {"token = [SECRET]"}
+    assert clean.exceptAll(hard).count() <= 3
+    assert secrets.scan(documents(spark, []), model).count() == 0
+    assert secrets.redacted(documents(spark, []), model).count() == 0
+
+
+def test_every_token_of_the_corpus_is_found(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = {r[0] for r in docs.where("""text rlike '(?i)token = "[0-9a-f]{40}"'""").select("doc_id").collect()}
+    found = {r[0] for r in secrets.scan(docs, model).where("is_secret").select("doc_id").collect()}
+    assert planted == planted & found and len(found - planted) <= 0.1 * len(planted)
