@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.operators.lineage import cut
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key, the first by ``order`` (which must break ties). An aggregation with map-side combine: no window, so a hot key is not gathered in one task."""
@@ -74,12 +76,31 @@ def with_exclusive_sum(df: DataFrame, keys: Sequence[str], at: str, value: str,
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
+def with_running_totals(df: DataFrame, by: Sequence[str], at: str, values: Sequence[str], width: float, descending: bool = False) -> DataFrame:
+    """Adds before_<value>: the sum of the value over the rows of a group that come before in order of the number ``at`` (whose values are distinct in a group). Rows are dealt by ranges of ``width``, so one large group is not sorted in one task; only the ranges' sums are."""
+    from pyspark.sql import Window
+
+    order = F.desc if descending else F.asc
+    bucket = F.floor(F.col(at) / width).alias("_bucket")
+    rows = df.withColumn("_bucket", bucket)
+    past = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values]).select(*by, "_bucket", *[F.coalesce(F.sum(f"_s_{v}").over(past), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order(at)).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"_l_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    on = None
+    a, b = local.alias("a"), starts.alias("b")
+    for c in (*by, "_bucket"):
+        part = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        on = part if on is None else on & part
+    return a.join(b, on).select("a.*", *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"before_{v}") for v in values]).drop("_bucket", *[f"_l_{v}" for v in values])
+
+
 def with_rank(df: DataFrame, order: Sequence[Column], name: str, buckets: int = 64) -> DataFrame:
-    """Global rank from 1 by ``order`` without a single-partition window: rows are sorted into ranges, and each partition's numbers start after those of the ranges before it."""
+    """Global rank from 1 by ``order`` without a single-partition window: rows are dealt into ranges (which are fixed by a checkpoint), and each range's numbers start after those of the ranges before it."""
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    ranged = cut(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each range
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_seq"))
-    return ranged.withColumn("_i", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_part", "_seq", "_i", "_start")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_i", within).join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_part", "_i", "_start")

@@ -1,18 +1,23 @@
 """Ranking and calibration metrics of predictions (p in [0, 1], y boolean), and intervals by resampling.
 
 All take a DataFrame with columns p and y (rows with a null p are left out) and
-optional group columns, and give a row for each group. Nothing but counts by
-distinct score passes a window, so the work is one shuffle by score, not a loop
-over pairs.
+optional group columns, and give a row for each group. Rows are counted by
+distinct score first; running totals over the scores are dealt by ranges, so the
+work is a few shuffles of counts, not a loop over pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.operators.relational import with_running_totals
+
+#: Widths of the ranges by which scores and keys of rows are dealt.
+SCORE_WIDTH, KEY_WIDTH = 1 / 1024, 65_536.0
+
 
 def _known(df: DataFrame) -> DataFrame:
     return df.where(F.col("p").isNotNull() & F.col("y").isNotNull())
@@ -26,9 +31,8 @@ def by_score(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """M1: (wins + ties / 2) / (positives * negatives); null if a class is empty."""
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_score(df, by).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
+    rows = with_running_totals(by_score(df, by), by, "p", ["neg"], SCORE_WIDTH)
+    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
     pairs = F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))
     return rows.groupBy(*by).agg((wins / pairs).alias("auc"))
 
@@ -45,9 +49,10 @@ def top_sizes(n: Column, share: float) -> Column:
 
 def _top(df: DataFrame, shares: Sequence[float], by: Sequence[str], neutral: bool) -> DataFrame:
     """For each share: rows k and positives among the k best. Ties go to positives first, or, neutral, count in proportion."""
-    w = Window.partitionBy(*by)
-    above = w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_score(df, by).withColumns({"n_all": F.sum(F.col("pos") + F.col("neg")).over(w), "before": F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(above), F.lit(0))})
+    scores = by_score(df, by).withColumn("both", F.col("pos") + F.col("neg"))
+    rows = with_running_totals(scores, by, "p", ["both"], SCORE_WIDTH, descending=True).withColumnRenamed("before_both", "before")
+    sizes = _known(df).groupBy(*by).agg(F.count("*").alias("n_all"))
+    rows = rows.join(sizes, list(by)) if by else rows.crossJoin(sizes)  # one row without groups
     out = []
     for i, share in enumerate(shares):
         room = F.greatest(F.lit(0), top_sizes(F.col("n_all"), share) - F.col("before"))
@@ -87,11 +92,14 @@ def calibration(df: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFr
 
 
 def resampled(df: DataFrame, by: Sequence[str], key: str, reps: int, seed: int = 42) -> DataFrame:
-    """Resamples with replacement: draw i of a resample takes the row whose number (by ``key``) is md5(seed:rep:i) modulo n. The draws do not depend on the order of rows or on partitions."""
-    ordered = _known(df).select(*by, "p", "y", key).withColumns({"row": F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1, "n": F.count("*").over(Window.partitionBy(*by))})
+    """Resamples with replacement: draw i of a resample takes the row whose number (by the numeric, distinct ``key``) is md5(seed:rep:i) modulo n. The draws do not depend on the order of rows or on partitions."""
+    rows = _known(df).select(*by, "p", "y", key)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    numbered = with_running_totals(rows.withColumn("one", F.lit(1)), by, key, ["one"], KEY_WIDTH).withColumnRenamed("before_one", "row")
+    ordered = numbered.join(sizes, list(by)) if by else numbered.crossJoin(sizes)  # one row without groups
     draws = ordered.select(*by, "n", F.col("row").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"), F.lit(":"), F.col("i").cast("string")))
-    draws = draws.withColumn("row", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
+    draws = draws.withColumn("row", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n"))
     return draws.join(ordered.select(*by, "row", "p", "y"), [*by, "row"]).select(*by, "rep", "p", "y")
 
 
