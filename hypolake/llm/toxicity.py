@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,12 +204,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """df's rows whose score is below the threshold, with all their columns."""
-    spec, at = (model.ordinary, model.toxic, model.weights), df.columns.index(text_col)
+    """df's rows whose score is below the threshold, with all their columns. Only texts go to Python, and only scores come back."""
+    spec = (model.ordinary, model.toxic, model.weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model(*spec).ready()
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+        for texts in batches:
+            yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(scores(F.col(text_col)) < threshold)
