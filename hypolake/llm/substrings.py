@@ -208,17 +208,18 @@ def _rest(length: int, id_col: str):
 
 def repeated_spans(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """kd, th, span of windows whose words also start earlier; base has kd, th, text."""
-    shared = base.select("text").mapInArrow(_anchors(length, seed), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # aggregates are written before they are joined, so that a join of two plain exchanges is left, whose hot keys adaptive execution splits
+    shared = written(base.select("text").mapInArrow(_anchors(length, seed), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     spans = base.select("kd", "th", "text").mapInArrow(_spans(length, seed), "kd long, th int, anchor long, words int, span long, again boolean")
     seeds = written(spans.join(shared, "anchor", "left_semi"))
-    whole = seeds.groupBy("anchor", "words").agg(F.min("kd").alias("first"))
+    whole = written(seeds.groupBy("anchor", "words").agg(F.min("kd").alias("first")))
     several = whole.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     placed = seeds.join(whole, ["anchor", "words"])
     later = placed.where(F.col("again") | (F.col("kd") > F.col("first"))).select("kd", "th", "span")
     ahead = placed.where(~F.col("again") & (F.col("kd") == F.col("first"))).join(several, "anchor", "left_semi").groupBy("kd", "th").agg(F.collect_set("span").alias("spans"))
     windows = base.join(ahead, ["kd", "th"]).select("kd", "th", "text", "spans").mapInArrow(_windows(length), "kd long, th int, w1 long, w2 int, span long, again boolean")
     windows = written(windows)
-    single = windows.groupBy("w1", "w2").agg(F.min("kd").alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
+    single = written(windows.groupBy("w1", "w2").agg(F.min("kd").alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first"))
     repeated = windows.join(single, ["w1", "w2"]).where(F.col("again") | (F.col("kd") > F.col("first"))).select("kd", "th", "span")
     return later.unionByName(repeated)
 
