@@ -44,9 +44,11 @@ class Model:
 
     def ready(self) -> Model:
         if self.toxic:
-            both = (self.ordinary, self.ordinary + self.toxic)
+            # the passages backwards take the same room, so that places in the background cost the same in both
+            both = (self.ordinary + self.toxic[::-1], self.ordinary + self.toxic)
             self._wide = [_compressor(d, LEVEL, 5, WINDOW) for d in both]
             self._near = [_compressor(d, ZOOM_LEVEL, 4, 64) for d in both]
+            # a known start makes every window compress, else short ones may be stored as they are
             self._pad = self.ordinary[-400:-368]
             self._seen: dict[bytes, int] = {}
         return self
@@ -63,9 +65,10 @@ class Model:
         """Largest differences of windows and of pieces, and numbers of pieces that differ by 2 and by 3 bytes or more."""
         data, wide, near, twos, threes = (text or "").encode().lower(), 0, 0, 0, 0
         ordinary, toxic = (c.compress for c in self._wide)
+        pad = self._pad
         for at in range(0, len(data), WINDOW):
             window = data[at : at + WINDOW + OVERLAP]
-            d = len(ordinary(window)) - len(toxic(window))
+            d = len(ordinary(pad + window)) - len(toxic(pad + window))
             if d < SUSPICIOUS:
                 continue
             wide = max(wide, d)
