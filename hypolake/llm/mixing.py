@@ -44,7 +44,7 @@ def featured(df: DataFrame, text_col: str) -> DataFrame:
     chars = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / chars
     words = F.filter(F.split(F.lower(text), f"{SPACE_CLASS}+"), lambda w: w != "")
-    return df.select("id", words.alias("words"), F.size(words).alias("tokens"), (chars - F.length(F.translate(text, "#*$%&|<>", ""))).cast("double").alias("n_symbols"), share("[^A-Z]").alias("capitals"), share("[^!]").alias("marks")).withColumn("symbols", F.col("n_symbols") / F.greatest(F.col("tokens"), F.lit(1)))
+    return df.select("id", words.alias("words"), F.size(words).alias("tokens"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("double").alias("n_symbols"), share("[^A-Z]+").alias("capitals"), share("[^!]+").alias("marks")).withColumn("symbols", F.col("n_symbols") / F.greatest(F.col("tokens"), F.lit(1)))
 
 
 def classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> PipelineModel | None:
