@@ -50,13 +50,13 @@ def with_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select(
         id_col,
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", SPACE_CLASS, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("t", f"{SPACE_CLASS}+", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("t", r"[^A-Z]", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("t", r"[^.!?。！？]", "")).cast("long").alias("n_stops"),
+        F.length(F.regexp_replace("t", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("t", r"[^.!?。！？]+", "")).cast("long").alias("n_stops"),
     )
 
 
