@@ -105,18 +105,20 @@ def _forest(max_bits: int):
 
 
 def _variants(hot: DataFrame, max_bits: int) -> DataFrame:
-    """Links of members of oversized buckets, by stars at common variants."""
-    one = [0, *(1 << i for i in range(64))]
-    near = sorted({a ^ b for a in one for b in one}) if max_bits == 3 else None
-    assert near is not None, "the variants' radii are for three bits"
-    signed = [m - (1 << 64) if m >> 63 else m for m in near]
-    rows = hot.select("fp", F.explode(F.array(*[F.lit(m) for m in signed])).alias("m")).select((F.col("fp").bitwiseXOR(F.col("m"))).alias("z"), "fp", (F.bit_count("m") <= 1).alias("near"))
+    """Links of members of oversized buckets, by stars at common variants: of two close members one is within ``inner`` bits of some variant and the other within ``outer``, and such two are never further apart than max_bits."""
+    inner = max_bits // 2
+    outer = max_bits - inner
+    masks = [sum(1 << b for b in bits) for n in range(outer + 1) for bits in combinations(range(64), n)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    rows = hot.select("fp", F.explode(F.array(*[F.lit(m) for m in signed])).alias("m")).select((F.col("fp").bitwiseXOR(F.col("m"))).alias("z"), "fp", (F.bit_count("m") <= inner).alias("near"))
     stars = rows.groupBy("z").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("u"), F.count("*").alias("n")).where("n > 1 and u is not null").select("z", "u")
     return rows.join(stars, "z").where("u != fp").select("u", F.col("fp").alias("v"))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, small: int = SMALL, large: int = LARGE) -> DataFrame:
-    """u < v: links that connect exactly the fingerprints (column fp, distinct) which pairs of at most max_bits differing bits connect. No link is between fingerprints further apart."""
+    """u < v: links that connect exactly the fingerprints (column fp, distinct) which pairs of at most max_bits (up to MAX_BITS) differing bits connect. No link is between fingerprints further apart."""
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the blocks find pairs of at most {MAX_BITS} differing bits")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks()])).alias("choice", "key"))
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")

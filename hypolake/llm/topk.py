@@ -30,31 +30,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of a component in the index; rows of a block of candidates; queries of a block.
-KEPT_BITS, BLOCK_ROWS, BLOCK_QUERIES = 6, 16_384, 256
+#: Bits of a component in the index; rows and bytes of a block of candidates, at most; queries of a block.
+KEPT_BITS, BLOCK_ROWS, BLOCK_BYTES, BLOCK_QUERIES = 6, 16_384, 1 << 25, 256
 SCALE = 256
 
 
-def _add(planes: dict[int, list]):
-    """Slices of the sum of bitmaps given by their bit position, least first."""
-    out, p = [], 0
-    while any(planes.values()):
-        todo = planes.pop(p, [])
-        up = planes.setdefault(p + 1, [])
-        while len(todo) > 2:
-            a, b, c = todo.pop(), todo.pop(), todo.pop()
+class Sum:
+    """Sum of bitmaps by bit position in carry-save form: never more than two bitmaps wait at a position."""
+
+    def __init__(self):
+        self.planes: dict[int, list] = {}
+
+    def add(self, p: int, plane) -> None:
+        waiting = self.planes.setdefault(p, [])
+        waiting.append(plane)
+        while len(waiting) == 3:
+            a, b, c = waiting
             half = a ^ b
-            todo.insert(0, half ^ c)
-            up.append((a & b) | (half & c))
-        if len(todo) == 2:
-            a, b = todo
-            up.append(a & b)
-            todo = [a ^ b]
-        out.append(todo[0] if todo else None)
-        p += 1
-        if not planes.get(p):
-            planes.pop(p, None)
-    return out
+            waiting[:] = [half ^ c]
+            p += 1
+            waiting = self.planes.setdefault(p, [])
+            waiting.append((a & b) | (half & c))
+
+    def slices(self) -> list:
+        """Slices of the total, least first; None for an empty one."""
+        out, p = [], 0
+        while any(q >= p and x for q, x in self.planes.items()):
+            waiting = self.planes.pop(p, [])
+            if len(waiting) == 2:
+                self.add(p + 1, waiting[0] & waiting[1])
+                waiting = [waiting[0] ^ waiting[1]]
+            out.append(waiting[0] if waiting else None)
+            p += 1
+        return out
 
 
 class Block:
@@ -84,21 +92,21 @@ class Block:
 
         size = np.abs(queries)
         negative = np.where(queries < 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, :, None]
-        planes: dict[int, list] = {}
+        total = Sum()
         for d in range(queries.shape[1]):
             digits = int(size[:, d].max()).bit_length()
             masks = [np.where(size[:, d] >> i & 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))[:, None] for i in range(digits)]
             for b in range(self.m):
                 plane = self.slices[d][b][None, :] ^ negative[:, d]
                 for i, mask in enumerate(masks):
-                    planes.setdefault(b + i, []).append(plane & mask)
-        return _add(planes)
+                    total.add(b + i, plane & mask)
+        return total.slices()
 
     def search(self, query_ids, queries, k: int) -> Iterator[tuple[int, int, int]]:
         """query id, row id, score of each query's k best rows here."""
         import numpy as np
 
-        slices = [s for s in self.quantised_scores(queries)]
+        slices = self.quantised_scores(queries)
         wide = int(np.abs(queries).max(initial=0)) * int(max(abs(int(self.values.min())), abs(int(self.values.max())))) * queries.shape[1] >= 1 << 62
         for q in range(len(queries)):
             # the low bits add between 0 and 2^shift - 1 for each unit of |q|, in either direction
@@ -158,7 +166,7 @@ def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = SC
 
 
 def _packed(block_rows: int):
-    """Blocks of rows of one length, of at most block_rows, from what a task reads."""
+    """Blocks of rows of one length, from what a task reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -176,10 +184,11 @@ def _packed(block_rows: int):
             starts = v.offsets.to_numpy()[:-1]
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                for a in range(0, len(rows), block_rows):
-                    some = rows[a : a + block_rows]
+                most = max(64, min(block_rows, BLOCK_BYTES // (8 * int(d))))
+                for a in range(0, len(rows), most):
+                    some = rows[a : a + most]
                     waiting.setdefault(int(d), []).append((ids[some].astype(np.int64), flat[starts[some][:, None] + np.arange(d)].astype(np.int64)))
-                    if sum(len(x[0]) for x in waiting[int(d)]) >= block_rows:
+                    if sum(len(x[0]) for x in waiting[int(d)]) >= most:
                         yield give(int(d))
         for d in list(waiting):
             yield give(d)

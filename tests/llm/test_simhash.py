@@ -17,7 +17,7 @@ def slow_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(fps):
+def slow_components(fps, bits=3):
     """smallest id reachable, for (id, fp) rows."""
     parent = list(range(len(fps)))
 
@@ -28,7 +28,7 @@ def slow_components(fps):
 
     for i, (_, a) in enumerate(fps):
         for j, (_, b) in enumerate(fps[:i]):
-            if bin(a ^ b).count("1") <= 3:
+            if bin(a ^ b).count("1") <= bits:
                 parent[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(fps):
@@ -76,10 +76,10 @@ def test_links_of_every_bucket_size(spark):
             g ^= 1 << b
         fps.add(g)
     rows = [(signed(f), f) for f in sorted(fps)]
-    want = slow_components(rows)
     df = spark.createDataFrame([(i,) for i, _ in rows], "fp long")
-    for small, large in ((48, 4096), (2, 4096), (2, 2)):
-        nodes = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, small=small, large=large)).collect()}
+    for small, large, bits in ((48, 4096, 3), (2, 4096, 3), (2, 2, 3), (2, 2, 2), (2, 2, 1)):
+        want = slow_components(rows, bits)
+        nodes = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, bits, small=small, large=large)).collect()}
         least = {}
         for i, _ in rows:
             least.setdefault(nodes.get(i, i), []).append(i)
