@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hypolake.operators.lineage import cut, ensure_checkpoint_dir
+
+__all__ = ["SPACE_CLASS", "cut", "table", "written"]
+
 #: Words of the contracts: runs of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -15,23 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset, as in tests, a temporary one is used."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: smaller than a checkpoint where rows are many. It lies there as long as checkpoints do when they are not cleaned."""
+    """df as a Parquet table in the shared folder: smaller than a checkpoint where rows are many. It is deleted when the application ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,8 @@ the largest differences and their number, fitted on labelled documents that no
 dictionary has seen, gives the calibrated score.
 
 The model is fitted on the driver from at most MAX_TOXIC + MAX_ORDINARY labelled
-documents, chosen by a hash of their ids; every document is scored whole.
+documents of at most MAX_SAMPLE_CHARS characters, chosen by a hash of their ids;
+every document is scored, and whole.
 
 Defined cases: a null or empty text gets the curve's value for no difference;
 without labelled documents of both kinds all scores are 0; a document labelled
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY = 2000, 3000
+MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_CHARS = 2000, 3000, 100_000
 WINDOW, OVERLAP, LEVEL, ZOOM_LEVEL, ZOOM_WORDS, SUSPICIOUS = 64, 20, 5, 12, 2, 2
 DICTIONARY_BYTES, SHORTEST, LONGEST = 32_768, 4, 14
 
@@ -185,7 +186,7 @@ def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     known = labels.where(remainder(id_col) != 0).groupBy(id_col).agg(F.max(label_col).alias("y")).where("y in (0, 1)")
     some = [known.where(F.col("y") == k).orderBy(F.xxhash64(id_col), id_col).limit(n) for k, n in ((1, max_toxic), (0, max_ordinary))]
     ids = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two limits
-    return [(r[0], r[1], r[2]) for r in df.select(id_col, text_col).join(ids, id_col).dropDuplicates([id_col]).select(id_col, text_col, "y").collect()]
+    return [(r[0], r[1], r[2]) for r in df.select(id_col, text_col).where(F.coalesce(F.length(text_col), F.lit(0)) <= MAX_SAMPLE_CHARS).join(ids, id_col).dropDuplicates([id_col]).select(id_col, text_col, "y").collect()]
 
 
 def train(df: DataFrame, labels: DataFrame, **names) -> Model:
