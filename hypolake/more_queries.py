@@ -176,7 +176,7 @@ def _scored(name: str) -> Plan:
 
 def _score_sql(p: str, good: str, bad: str, sure: str, used: str) -> str:
     tier = "CASE WHEN p >= 0.35 THEN 'high' WHEN p >= 0.18 THEN 'medium' ELSE 'low' END"
-    return f"SELECT target_id, indication_id, round(p, 8) AS p, {tier} AS predicted_tier, good, bad, CASE WHEN sure IN ('high', 'low') THEN sure WHEN n >= 15 THEN 'high' WHEN n >= 8 THEN 'medium' ELSE 'low' END AS score_confidence, CAST(n AS INT) AS n_features_used FROM (SELECT target_id, indication_id, {p} AS p, {good} AS good, {bad} AS bad, {sure} AS sure, {used} AS n FROM v_cohort)"
+    return f"SELECT target_id, indication_id, round(CAST(p AS DOUBLE), 8) AS p, {tier} AS predicted_tier, good, bad, CASE WHEN sure IN ('high', 'low') THEN sure WHEN n >= 15 THEN 'high' WHEN n >= 8 THEN 'medium' ELSE 'low' END AS score_confidence, CAST(n AS INT) AS n_features_used FROM (SELECT target_id, indication_id, {p} AS p, {good} AS good, {bad} AS bad, {sure} AS sure, {used} AS n FROM v_cohort)"
 
 
 def _some(tests, sign: int) -> str:
