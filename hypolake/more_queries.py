@@ -100,13 +100,7 @@ def last_wins(e: Entities) -> DataFrame:
 LAST_SQL = "SELECT l_partkey, row_no, l_suppkey, l_quantity FROM (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS row_no, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC, l_suppkey, l_quantity) AS rn FROM lineitem) WHERE rn = 1"
 
 
-def modality_mode(e: Entities) -> DataFrame:
-    """The most frequent modality of each target, ties to the first in order."""
-    rows = e.drug.where("modality is not null").join(V.primary_target(e).select("drug_id", "target_id"), "drug_id").groupBy("target_id", "modality").agg(F.count("*").alias("n"))
-    return rows.groupBy("target_id").agg(F.min_by("modality", F.struct((-F.col("n")).alias("n"), "modality")).alias("modality"))
-
-
-MODE_SQL = "SELECT target_id, modality FROM (SELECT target_id, modality, row_number() OVER (PARTITION BY target_id ORDER BY count(*) DESC, modality) AS rn FROM drug d JOIN v_drug_target t ON t.drug_id = d.drug_id AND t.role = 'primary' WHERE modality IS NOT NULL GROUP BY target_id, modality) WHERE rn = 1"
+MODE_SQL = "SELECT target_id, indication_id, modality FROM (SELECT target_id, indication_id, modality, row_number() OVER (PARTITION BY target_id, indication_id ORDER BY (modality IS NULL), count(*) DESC, modality) AS rn FROM program p JOIN drug d ON d.drug_id = p.drug_id JOIN v_drug_target t ON t.drug_id = d.drug_id AND t.role = 'primary' WHERE d.is_placebo IS NOT TRUE GROUP BY target_id, indication_id, modality) WHERE rn = 1"
 
 
 # -- metrics ------------------------------------------------------------------
@@ -270,7 +264,9 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "e28_merge_precedence": (merge_precedence, MERGE_SQL),
     "s6_upsert": (upsert, UPSERT_SQL),
     "s7_insert_ignore": (insert_ignore, "SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS tag FROM supplier"),
-    "a8_mode": (modality_mode, MODE_SQL),
+    "a8_mode": (V.pair_modality, MODE_SQL),
+    "j17_precedent_as_of": (lambda e: V.with_precedent(V.strict_outcome(e), V.precedent_by_year(e)).select("target_id", "indication_id", "year", "family_approved_before_year", "gene_approved_before_year"), "SELECT s.target_id, s.indication_id, CAST(extract(year FROM coalesce(s.first_trial_date, DATE '2020-01-01')) AS INT) AS year, coalesce(p.family_approved_before_year, 0) AS family_approved_before_year, coalesce(p.gene_approved_before_year, 0) AS gene_approved_before_year FROM v_strict s LEFT JOIN v_precedent p ON p.target_id = s.target_id AND p.year = extract(year FROM coalesce(s.first_trial_date, DATE '2020-01-01'))"),
+    "v21_modality_cohort": (lambda e: V.modality_cohort(e).select("target_id", "indication_id", "y", "modality_group"), f"WITH m AS ({MODE_SQL}) SELECT c.target_id, c.indication_id, c.y, CASE WHEN regexp_matches(coalesce(modality, ''), 'small|molecule') THEN 'small_molecule' WHEN regexp_matches(modality, 'antibody|protein|biologic|peptide|mab') THEN 'biologic' WHEN regexp_matches(modality, 'gene|rna|oligo|antisense') THEN 'genetic' WHEN contains(modality, 'cell') THEN 'cell' ELSE 'other' END AS modality_group FROM v_strict_cohort c JOIN m ON m.target_id = c.target_id AND m.indication_id = c.indication_id"),
     "m1_auc": (lambda e: rounded(metrics.auc(e.prediction, _BY)), AUC_SQL),
     "m2_brier": (lambda e: rounded(metrics.brier(e.prediction, _BY)), BRIER_SQL),
     "m3_ranking": (lambda e: rounded(metrics.ranking(e.prediction, _BY)), RANKING_SQL),

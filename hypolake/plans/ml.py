@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The features by category; what follows from the outcome (numbers of programs, drugs and sponsors, phase, known-drug and overall scores) is left out.
@@ -238,3 +238,10 @@ def sign_agreement(relative: DataFrame, coefficients: DataFrame, least: int = 10
 def labelled(cohort: DataFrame, label: str = "y", keep: Sequence[str] = ("target_id", "indication_id")) -> DataFrame:
     """Features with label 0 or 1."""
     return features(cohort.withColumn("label", F.coalesce(F.col(label), F.lit(False)).cast("double")), [*keep, "label"])
+
+
+def calibrated_scores(df: DataFrame, k: int = 5) -> DataFrame:
+    """Scores p of a fixed scorer, each fold calibrated by an isotonic curve of the others."""
+    rows = stratified_folds(df, k)
+    parts = [isotonic(rows.where(F.col("fold") != i))(rows.where(F.col("fold") == i)) for i in range(k)]
+    return reduce(DataFrame.unionByName, parts)

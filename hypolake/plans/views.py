@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.functions.text import modality_group
 from hypolake.operators.relational import count_if, distinct_joined, explode_tests, first_per_key, percent, pivot_max, ratio, with_exclusive_sum
 from hypolake.plans import evidence_tests as T
 from hypolake.plans.binding import TARGET_DIMENSIONS, DRUG_DIMENSIONS, Entities
@@ -332,3 +333,24 @@ def cell_specificity(e: Entities) -> DataFrame:
     """The cell type of the largest value and Yanai's Tau over positive values; null with fewer than two."""
     rows = e.single_cell_expression.where("value > 0").groupBy("target_id").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.max("value").alias("m"), F.min_by("cell_type", F.struct((-F.col("value")).alias("v"), "cell_type")).alias("sc_max_cell_type"))
     return rows.select("target_id", F.col("n").alias("sc_n_cell_types_expressed"), F.col("m").alias("sc_max_cell_value"), "sc_max_cell_type", F.round(F.when(F.col("n") >= 2, (F.col("n") - F.col("s") / F.col("m")) / (F.col("n") - 1)), 9).alias("sc_tau_specificity"))
+
+
+def with_precedent(pairs: DataFrame, precedent: DataFrame, at: str = "first_trial_date", default_year: int = 2020) -> DataFrame:
+    """The precedent of each pair's target as of the year of its first trial; the default year without a date, and 0 where nothing is known."""
+    dated = pairs.withColumn("year", F.coalesce(F.year(at), F.lit(default_year)))
+    known = precedent.select("target_id", "year", "family_approved_before_year", "gene_approved_before_year")
+    return dated.join(known, ["target_id", "year"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("family_approved_before_year", "gene_approved_before_year")})
+
+
+def pair_modality(e: Entities) -> DataFrame:
+    """The most frequent modality among a pair's programs of drugs that are no placebos, ties to the first in order; null if none is known."""
+    drugs = e.drug.where(~F.col("is_placebo").eqNullSafe(F.lit(True))).select("drug_id", "modality")
+    rows = e.program.select("drug_id", "indication_id").join(drugs, "drug_id").join(primary_target(e).select("drug_id", "target_id"), "drug_id")
+    counted = rows.groupBy("target_id", "indication_id", "modality").agg(F.count("*").alias("n"))
+    return counted.groupBy("target_id", "indication_id").agg(F.min_by("modality", F.when(F.col("modality").isNotNull(), F.struct((-F.col("n")).alias("n"), "modality"))).alias("modality"))
+
+
+def modality_cohort(e: Entities, min_phase: int = 2) -> DataFrame:
+    """V21 with the group of the pair's most frequent modality."""
+    groups = pair_modality(e).select("target_id", "indication_id", modality_group(F.col("modality")).alias("modality_group"))
+    return strict_cohort(e, min_phase).join(groups, ["target_id", "indication_id"])

@@ -222,3 +222,50 @@ def test_stream_of_events(spark, data, tmp_path):
     query = windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_splits_groups_and_calibration(spark):
+    import datetime
+
+    df = spark.range(300).select((F.col("id") % 30).alias("target_id"), F.col("id").alias("indication_id"), (F.col("id") % 3 == 0).cast("double").alias("label"), ((F.col("id") % 3 == 0).cast("double") * 0.4 + F.rand(5) * 0.5).alias("p"), F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise("b").alias("area"), F.when(F.col("id") % 7 > 0, F.expr("make_date(2015 + cast(id % 8 as int), 1, 1)")).alias("first_trial_date"))
+    out = ml.calibrated_scores(df)
+    assert out.count() == 300 and out.where("p < 0 or p > 1").count() == 0
+    assert metrics.ece(out.select("p", (F.col("label") == 1).alias("y"))).first()["ece"] < 0.1
+    train, test = ml.time_split(df, 2019)
+    assert train.agg(F.max("first_trial_date")).first()[0] < datetime.date(2019, 1, 1) and train.count() + test.count() == 300
+    assert train.where("first_trial_date is null").count() == 0 and ml.time_split(df, 2000) is None
+    groups = ml.per_group(df.withColumnRenamed("p", "x"), "area", ml.logistic(0.5), ["x"], k=2)
+    assert {k: v.count() for k, v in groups.items()} == {"a": 150, "b": 150}
+    assert ml.per_group(df, "area", ml.logistic(0.5), ["p"], least=151) == {}
+
+
+def test_sign_agreement_and_interactions(spark):
+    rs = spark.createDataFrame([("a", 200, 1.5), ("b", 200, 0.5), ("c", 200, 2.0), ("d", 50, 2.0)], "dimension string, n_supported long, relative_success double")
+    beta = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", -0.5), ("d", 1.0)], "dimension string, beta double")
+    assert tuple(ml.sign_agreement(rs, beta).first()) == (3, 66.7)
+    row = spark.createDataFrame([(4.5, 1.0, 2.0, 0.5, 0.25, 3.0, 2.0, 0.0)], "mendelian_n double, clingen_n_strong double, line_e_lit double, ot_genetic_max double, ot_animal_model_max double, line_c_lit double, line_d_lit double, family_approved_count double")
+    got = ml.interactions(row).first()
+    assert (got["mend_x_clingen"], got["mend_x_line_e"], got["genetic_x_animal"], got["line_c_x_d"], got["family_x_genetic"]) == (4.5, 2.0, 0.125, 6.0, 0.0)
+
+
+def test_leave_one_category_out(spark):
+    names = ml.feature_names()
+    df = spark.range(120).select(F.col("id").alias("target_id"), F.col("id").alias("indication_id"), (F.col("id") % 2).cast("double").alias("label"), *[((F.col("id") % 2) + F.rand(i) if n == "line_e_lit" else F.rand(i)).alias(n) for i, n in enumerate(names)])
+    import hypolake.plans.ml as m
+
+    kept, m.category_map = m.category_map, lambda tier_in_genetics=True: {"E_pd": ["line_e_lit"]}
+    try:
+        runs = m.leave_one_category_out(m.stratified_folds(df, 2), m.forest(10, 3), 2)
+    finally:
+        m.category_map = kept
+    score = {c: metrics.auc(r.select("p", (F.col("label") == 1).alias("y"))).first()["auc"] for c, r in runs.items()}
+    assert score[""] > score["E_pd"]
+
+
+def test_precedent_as_of(spark):
+    from hypolake.plans.views import with_precedent
+
+    pairs = spark.createDataFrame([(1, 1, dt.date(2019, 5, 1)), (1, 2, None), (2, 3, dt.date(2001, 1, 1))], "target_id long, indication_id long, first_trial_date date")
+    known = spark.createDataFrame([(1, 2019, 3, 1), (1, 2020, 4, 2)], "target_id long, year int, family_approved_before_year long, gene_approved_before_year long")
+    got = {r["indication_id"]: (r["year"], r["family_approved_before_year"], r["gene_approved_before_year"]) for r in with_precedent(pairs, known).collect()}
+    assert got == {1: (2019, 3, 1), 2: (2020, 4, 2), 3: (2001, 0, 0)}
