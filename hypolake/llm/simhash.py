@@ -59,16 +59,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and fp (the fingerprint as a signed long) of every row."""
+    """id, fp (the fingerprint as a signed long) and text_hash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64()), batch.column(2)], ["id", "fp", "text_hash"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, fp long")
+    return df.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
 
 
 def block_masks() -> list[int]:
@@ -155,18 +155,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """id, fingerprint (16 hex digits) and component_id (smallest id of the component) of every row."""
+    """id, fingerprint (16 hex digits), component_id (smallest id of the component) and text_hash of every row."""
     docs = cut(fingerprints(df, id_col, text_col, shingle))
     groups = docs.groupBy("fp").agg(F.min("id").alias("least"))
     edges = links(groups.select("fp"), max_bits)
     nodes = components(edges)
     tops = nodes.join(groups, nodes["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     named = groups.join(nodes, groups["fp"] == nodes["node"], "left").join(tops, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """df with one row of each component: that of the smallest id."""
+    """df with one row of each component: that of the smallest id. Rows of one id with different texts, or without an id, count as documents of their own unless a smaller id is in their component."""
     named = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
-    return df.join(kept, df[id_col].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), "text_hash")
+    rows = df.withColumn("_h", F.xxhash64(text_col))
+    same = rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("text_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_h"]).drop("_h")

@@ -89,9 +89,10 @@ def test_links_of_every_bucket_size(spark):
 def test_one_row_of_each_group_stays(spark):
     rng = random.Random(3)
     a = text(rng, 60)
-    out = simhash.deduplicated(documents(spark, [(1, a), (2, a), (2, a), (3, text(rng, 60)), (3, text(rng, 60))]))
-    ids = sorted(r["doc_id"] for r in out.collect())
-    assert ids == [1, 3] and out.columns == documents(spark, []).columns
+    b, c = text(rng, 60), text(rng, 60)
+    out = simhash.deduplicated(documents(spark, [(1, a), (1, a), (2, a), (2, a), (3, b), (3, c), (3, c), (None, text(rng, 60)), (None, text(rng, 60)), (None, a)]))
+    ids = sorted((r["doc_id"] or -1 for r in out.collect()))
+    assert ids == [-1, -1, 1, 3, 3] and out.columns == documents(spark, []).columns
 
 
 def test_empty_table(spark):
