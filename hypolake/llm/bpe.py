@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from hypolake.llm.common import small_batches
+
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -267,4 +269,4 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, schema)

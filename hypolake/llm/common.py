@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hypolake.operators.lineage import cut, ensure_checkpoint_dir
 
-__all__ = ["SPACE_CLASS", "cut", "table", "written"]
+__all__ = ["SPACE_CLASS", "cut", "small_batches", "table", "written"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that go to Python at once, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_ROWS rows: documents are large, and a task holds a batch several times over."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: smaller than a checkpoint where rows are many. It is deleted when the application ends."""
     spark = df.sparkSession

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from hypolake.llm.common import small_batches
+
 #: Phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Short notices, as words, and their labels.
@@ -128,4 +130,4 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_pe
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     schema = f"`{id_col}` {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first_word:bigint,n_words:bigint,label:string,edits:int>>"
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, schema)

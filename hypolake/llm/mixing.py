@@ -130,6 +130,6 @@ def mixed(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 def resampled(df: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every row as often as its copies say."""
-    copies = mixed(df, labels, weights, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = df.join(copies, df[id_col].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    copies = mixed(df, labels, weights, id_col, text_col).groupBy(F.col(id_col).alias("__mix_id")).agg(F.max("copies").alias("__mix_copies")).where("__mix_copies > 0")
+    joined = df.join(copies, F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*df.columns)

@@ -137,9 +137,10 @@ def redacted(df: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_c
     """df with every value judged secret replaced in the text. Only documents with a candidate are shuffled."""
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
     some = df.where(has)
-    secrets = scan(some, model, id_col, text_col, path_col).where("is_secret").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("value").alias("_secrets"))
+    secrets = scan(some, model, id_col, text_col, path_col).where("is_secret").groupBy(F.col(id_col).alias("__secret_id")).agg(F.collect_set("value").alias("__secrets"))
     # the longest first, so that a value inside another does not break it
-    ordered = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
+    ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
     clean = F.aggregate(ordered, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(stand_in)))
-    joined = some.join(secrets, some[id_col].eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.when(F.col("_secrets").isNotNull(), clean).otherwise(F.col(text_col))).drop("_id", "_secrets")
+    joined = some.join(secrets, F.col(id_col).eqNullSafe(F.col("__secret_id")), "left")
+    joined = joined.withColumn(text_col, F.when(F.col("__secrets").isNotNull(), clean).otherwise(F.col(text_col))).drop("__secret_id", "__secrets")
     return df.where(~has).unionByName(joined)

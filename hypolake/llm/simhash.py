@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypolake.llm.common import cut
+from hypolake.llm.common import cut, small_batches
 
 SHINGLE, MAX_BITS, BLOCKS, SMALL, LARGE = 3, 3, 6, 48, 4096
 
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64()), batch.column(2)], ["id", "fp", "text_hash"])
 
-    return df.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
+    return small_batches(df).select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
 
 
 def block_masks() -> list[int]:
@@ -168,7 +168,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """df with one row of each component: that of the smallest id. Rows of one id with different texts, or without an id, count as documents of their own unless a smaller id is in their component."""
     named = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), "text_hash")
-    rows = df.withColumn("_h", F.xxhash64(text_col))
-    same = rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("text_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_h"]).drop("_h")
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
+    rows = df.withColumn("__row_hash", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__row_hash") == F.col("__kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__row_hash"]).drop("__row_hash")

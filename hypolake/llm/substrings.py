@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypolake.llm.common import written
+from hypolake.llm.common import small_batches, written
 
 LENGTH, SEED = 20, 6
 #: Odd multipliers of the rolling hashes.
@@ -226,7 +226,7 @@ def repeated_spans(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """Per row: n_words, n_removed (words in a window of ``length`` words that starts earlier, too), the digest of the other words joined by blanks, and the maximal repeats removed as spans of words."""
-    base = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("kd"), F.coalesce(text_col, F.lit("")).alias("text"))
+    base = small_batches(df).select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("kd"), F.coalesce(text_col, F.lit("")).alias("text"))
     base = base.select("kd", F.hash("text").alias("th"), "text")
     gone = repeated_spans(base, length, seed).groupBy("kd", "th").agg(F.collect_set("span").alias("spans"))
     schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first_word:bigint,n_words:bigint>>"

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.llm.common import small_batches
+
 MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_CHARS = 2000, 3000, 100_000
 WINDOW, OVERLAP, LEVEL, ZOOM_LEVEL, ZOOM_WORDS, SUSPICIOUS = 64, 20, 5, 12, 2, 2
 DICTIONARY_BYTES, SHORTEST, LONGEST = 32_768, 4, 14
@@ -204,7 +206,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [id_col, "held_out", "score", "predicted"])
 
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return df.select(id_col, (remainder(id_col) == 0).alias("held_out"), text_col).mapInArrow(run, schema)
+    return small_batches(df).select(id_col, (remainder(id_col) == 0).alias("held_out"), text_col).mapInArrow(run, schema)
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -217,4 +219,4 @@ def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    return df.where(scores(F.col(text_col)) < threshold)
+    return small_batches(df).where(scores(F.col(text_col)) < threshold)

@@ -14,5 +14,5 @@ def hard_rows(rng):
 
 def documents(spark, rows):
     """doc_id and text, and columns whose names operators use themselves."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, kd long, tokens int, t string, w string"
-    return spark.createDataFrame([(i, t, "en", "src1", len(t or ""), 5, 6, 7, 8, "t", "w") for i, t in rows], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, kd long, tokens int, t string, w string, text_hash long, component_id long, _id long, copies int, score double, y int, layout string"
+    return spark.createDataFrame([(i, t, "en", "src1", len(t or ""), 5, 6, 7, 8, "t", "w", 1, 2, 3, 4, 0.5, 1, "l") for i, t in rows], schema)
