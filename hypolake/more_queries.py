@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hypolake.functions import text as X
@@ -135,15 +135,29 @@ BOOTSTRAP_SQL = f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY run_id
   SELECT p.run_id, round(auc, 8) AS auc, round(v[1 + CAST(floor(len(v) * 0.025) AS INT)], 8) AS auc_lo, round(v[1 + CAST(floor(len(v) * 0.975) AS INT)], 8) AS auc_hi FROM p JOIN l ON l.run_id = p.run_id"""
 
 
-def leaderboard(e: Entities) -> DataFrame:
-    """Rounded metrics of each run, with the interval as text; null if a bound is."""
-    m = metrics.all_metrics(e.prediction, ["run_id"])
-    lo, hi = F.col("auc") - 0.05, F.when(F.col("run_id") != 2, F.col("auc") + 0.05)
+def bootstrap_all_rows(e: Entities) -> DataFrame:
+    """M7 over all rows of each run, 200 resamples."""
+    return rounded(metrics.bootstrap_auc(e.prediction, "row_id", ["run_id"]))
+
+
+def _leaderboard(m: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Rounded metrics of each run, with the interval as text; null if a bound is."""
     # the text is made of decimals, so that trailing zeros stay
     text = lambda c: F.round(c, 3).cast("decimal(10,3)").cast("string")
     return m.select("run_id", "n_pairs", "n_approved", F.round(100.0 * F.col("n_approved") / F.nullif("n_pairs", F.lit(0)), 1).alias("baseline_approval_pct"), F.round("auc", 3).alias("auc"), F.concat(F.lit("["), text(lo), F.lit(", "), text(hi), F.lit("]")).alias("auc_ci"), F.round("brier", 3).alias("brier"), F.round("ece", 3).alias("calib_err"))
 
 
+def leaderboard(e: Entities) -> DataFrame:
+    """V18 with a made-up interval, as in its SQL: the text is compared, not the bounds."""
+    return _leaderboard(metrics.all_metrics(e.prediction, ["run_id"]), F.col("auc") - 0.05, F.when(F.col("run_id") != 2, F.col("auc") + 0.05))
+
+
+def leaderboard_bootstrap(e: Entities) -> DataFrame:
+    """V18 with the interval of M7."""
+    bounds = metrics.bootstrap_auc(e.prediction, "row_id", ["run_id"]).select("run_id", "auc_lo", "auc_hi")
+    return _leaderboard(metrics.all_metrics(e.prediction, ["run_id"]).join(bounds, "run_id", "left"), F.col("auc_lo"), F.col("auc_hi"))
+
+
 LEADERBOARD_SQL = f"""WITH q AS ({_P}), a AS (SELECT a.run_id, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS auc FROM q a JOIN q b ON a.run_id = b.run_id WHERE a.y AND NOT b.y GROUP BY a.run_id),
   b AS (SELECT run_id, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y AS INT)) AS my FROM q GROUP BY 1, 2), e AS (SELECT run_id, sum(n * abs(mp - my)) / sum(n) AS ece FROM b GROUP BY run_id),
   m AS (SELECT run_id, count(*) AS n_pairs, CAST(sum(CAST(y AS INT)) AS BIGINT) AS n_approved, avg((CAST(y AS INT) - p) * (CAST(y AS INT) - p)) AS brier FROM q GROUP BY run_id)
@@ -273,8 +287,10 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "m3_ranking_tie_neutral": (lambda e: rounded(metrics.ranking(e.prediction, _BY, neutral=True)), None),
     "m6_ece": (lambda e: rounded(metrics.ece(e.prediction, _BY)), ECE_SQL),
     "m7_bootstrap": (bootstrap, BOOTSTRAP_SQL),
+    "m7_bootstrap_all_rows": (bootstrap_all_rows, None),
     "m8_odds_ratio_intervals": (effect_intervals, None),
     "v18_leaderboard": (leaderboard, LEADERBOARD_SQL),
+    "v18_leaderboard_bootstrap": (leaderboard_bootstrap, None),
     "v19_calibration": (lambda e: rounded(metrics.calibration(e.prediction, _BY)), CALIBRATION_SQL),
     "w5_predicted_rank": (predicted_rank, f"SELECT target_id, indication_id, p, row_number() OVER (ORDER BY q DESC, target_id, indication_id) AS predicted_rank FROM (SELECT target_id, indication_id, round(q, 8) AS p, q FROM (SELECT target_id, indication_id, greatest(0.001, least(0.99, 0.05 * exp({' + '.join(f'CASE WHEN {t.sql()} THEN ln({w}) ELSE 0 END' for t, w in T.RS_FACTORS)}))) AS q FROM v_cohort))"),
     "v24_sponsor_success": (portfolio.sponsor_success, "SELECT sponsor_name AS sponsor, count(DISTINCT drug_id) AS n_drugs, count(DISTINCT drug_id) FILTER (WHERE approved_us) AS n_approved, round(100.0 * CAST(count(DISTINCT drug_id) FILTER (WHERE approved_us) AS DOUBLE) / count(DISTINCT drug_id), 1) AS pct, CAST(1 AS BIGINT) AS n_spellings FROM program p JOIN v_program_outcome po ON po.program_id = p.program_id WHERE sponsor_name IS NOT NULL GROUP BY sponsor_name"),
