@@ -10,7 +10,9 @@ anchor has different spans, their single windows are compared. The earliest
 occurrence keeps its words, and neighbouring repeated windows add up to the
 maximal repeats. The work is linear in the occurrences: a passage that stands in
 n documents gives n rows for each anchor, never n^2 pairs, and no group is
-gathered in one task. Equal spans and windows meet by hashes of 96 bits.
+gathered in one task. Equal spans meet by the hash of their anchor and 64 bits of
+their own, so that those of one frequent anchor are as safe as any; equal windows
+meet by hashes of 95 bits.
 
 Defined cases: a null or empty text has no words, and one shorter than
 ``length`` loses none; repeated rows (same id, same text) are one document and
@@ -110,12 +112,11 @@ def _spans(length: int, seed: int):
                 powers = _powers(len(words))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[0][: len(words)], dtype=np.uint64)])
                 span = (sums[lo + n - 1 + length] - sums[lo]) * powers[1][lo] + n.astype(np.uint64) * np.uint64(BASES[2])
-                span = (_mixed(span) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                key = seeds[at] ^ span.astype(np.uint64) << np.uint64(31)
+                span = _mixed(span)
                 first = np.zeros(len(at), bool)
-                first[np.unique(key, return_index=True)[1]] = True
+                first[np.unique(span, return_index=True)[1]] = True  # equal spans have equal anchors
                 rows.append(np.full(len(at), i))
-                for col, x in zip(cols, (seeds[at].view(np.int64), span, lo.astype(np.int64) * 16 + n - 1, ~first)):
+                for col, x in zip(cols, (seeds[at].view(np.int64), span.view(np.int64), lo.astype(np.int64) * 16 + n - 1, ~first)):
                     col.append(x)
             if rows:
                 take = pa.array(np.concatenate(rows))
@@ -210,7 +211,7 @@ def repeated_spans(base: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     """kd, th, span of windows whose words also start earlier; base has kd, th, text."""
     # aggregates are written before they are joined, so that a join of two plain exchanges is left, whose hot keys adaptive execution splits
     shared = written(base.select("text").mapInArrow(_anchors(length, seed), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    spans = base.select("kd", "th", "text").mapInArrow(_spans(length, seed), "kd long, th int, anchor long, words int, span long, again boolean")
+    spans = base.select("kd", "th", "text").mapInArrow(_spans(length, seed), "kd long, th int, anchor long, words long, span long, again boolean")
     seeds = written(spans.join(shared, "anchor", "left_semi"))
     whole = written(seeds.groupBy("anchor", "words").agg(F.min("kd").alias("first")))
     several = whole.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")

@@ -71,3 +71,24 @@ def test_spans_are_maximal_repeats(spark):
     p = text(rng, 40)
     got = {r["doc_id"]: r["removed"] for r in substrings.remove_repeats(documents(spark, [(1, p), (2, f"q {p} r")])).collect()}
     assert got[1] == [] and [tuple(s) for s in got[2]] == [(1, 40)]
+
+
+def test_spans_of_one_anchor_that_share_32_bits(spark):
+    """Two texts of 20 words with one anchor, whose hashes agree in their upper half, are not repeats."""
+    import numpy as np
+
+    words = [f"w{i}" for i in range(19)]
+    last = [f"x{i}" for i in range(400_000)]
+    fixed = substrings.word_hashes([w.encode() for w in words])
+    powers = substrings._powers(20)[0]
+    made = substrings.word_hashes([w.encode() for w in last])
+    total = (fixed * powers[:19]).sum(dtype=np.uint64) + made * powers[19] + np.uint64(substrings.BASES[2])
+    half = substrings._mixed(total) >> np.uint64(32)
+    order = np.argsort(half, kind="stable")
+    at = np.flatnonzero(half[order][1:] == half[order][:-1])
+    anchor = lambda w: substrings.own_anchors(substrings.word_hashes([x.encode() for x in w]), 20, 6)[1][0]
+    pairs = [(words + [last[order[i]]], words + [last[order[i + 1]]]) for i in at]
+    a, b = next((a, b) for a, b in pairs if anchor(a) == anchor(b) < 14)
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(b))]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(documents(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
