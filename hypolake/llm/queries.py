@@ -62,7 +62,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     records = chat.gathered(turns).unionByName(chat.gathered(spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)))
-    out = chat.format_turns(chat.canonical_turns(records, "record"))
+    out = chat.format_turns(chat.canonical_turns(records, "record", messages_col="messages"))
     back = chat.read_back(F.col("formatted"))
     said = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = chat.masked_text(F.col("formatted"), F.col("loss_mask"))
