@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives.
 
-Patterns find candidate values line by line; a random forest (Spark ML, in the
+Patterns find candidate values line by line, and private keys as blocks of lines
+from BEGIN to END; a random forest (Spark ML, in the
 JVM) trained from labelled findings judges each by its length, the changes
 between character classes, how far dictionary words cover it, its path and the
 words around it. Only Spark functions are used, and nothing is shuffled.
@@ -30,22 +31,42 @@ WORDS = "access account admin api auth change client code config data default de
 BENIGN = r"(?i)\b(commit|sha-?\d*|md5|hash|checksum|digest|uuid|guid|etag|revision|version|example|sample|dummy|fake|mock|placeholder|test)\b"
 TEST_PATH = r"(?i)(test|spec|example|sample|mock|fixture|docs?/|readme)"
 
+#: A private key with its body; the possessive groups do not recurse, however long a text is.
+KEY_BLOCK = r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*+(?<=PRIVATE KEY)-----"
 #: A named value, a known form, or a long run of letters and digits that holds both.
 CANDIDATE = rf"(?i:\b(?:{NAMES})\b[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"']?[^\s\"'<>,;]{{8,}})|{'|'.join(FORMS)}|\b(?=[A-Za-z+/_=-]{{0,40}}[0-9])(?=[0-9+/_=-]{{0,40}}[A-Za-z])[A-Za-z0-9+/_=-]{{24,}}"
 MARK = "\u0001"
 FEATURES = ("length", "runs", "digits", "capitals", "symbols", "variety", "hexadecimal", "covered", "named", "known_form", "benign_words", "test_path", "quoted")
 
 
+def _key_blocks(some: DataFrame) -> DataFrame:
+    """Candidates that are whole private keys; they start in line line_no."""
+    pieces = some.where(F.col("t").contains("-----BEGIN ") & F.col("t").rlike(KEY_BLOCK)).select("id", "path", F.split("t", KEY_BLOCK).alias("p"), F.regexp_extract_all("t", F.lit(f"({KEY_BLOCK})"), F.lit(1)).alias("b"))
+    each = pieces.select("id", "path", "p", "b", F.explode(F.sequence(F.lit(1), F.size("b"))).alias("k"))
+    ahead = F.concat(F.array_join(F.transform(F.slice("p", 1, F.col("k") - 1), lambda x, i: F.concat(x, F.get("b", i))), ""), F.get("p", F.col("k") - 1))
+    last = F.substring_index("ahead", "\n", -1)
+    return each.withColumn("ahead", ahead).select("id", "path", (F.length("ahead") - F.length(F.replace("ahead", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line_no"), (F.length(last) + 1).cast("int").alias("start"), F.get("b", F.col("k") - 1).alias("match"), F.right(last, F.lit(80)).alias("before"), F.left(F.substring_index(F.get("p", F.col("k")), "\n", 1), F.lit(80)).alias("after"))
+
+
+def _without_blocks(text: Column) -> Column:
+    """The text with private keys made blank, line by line, so that all else keeps its place."""
+    blanks = F.transform(F.regexp_extract_all(text, F.lit(f"({KEY_BLOCK})"), F.lit(1)), lambda b: F.regexp_replace(b, r"[^\n]", " "))
+    joined = F.array_join(F.transform(F.split(text, KEY_BLOCK), lambda x, i: F.concat(x, F.coalesce(F.get(blanks, i), F.lit("")))), "")
+    return F.when(text.contains("-----BEGIN ") & text.rlike(KEY_BLOCK), joined).otherwise(text)
+
+
 def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """id, path, line_no (from 1), start (code points in the line, from 1), match, before and after for every candidate."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    some = df.where(F.col(text_col).rlike(CANDIDATE)).select(F.col(id_col).alias("id"), path.alias("path"), F.translate(text_col, MARK, " ").alias("t"))
-    lines = some.select("id", "path", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(F.col("line").rlike(CANDIDATE))
+    some = df.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("t"))
+    plain = some.where(F.col("t").rlike(CANDIDATE)).select("id", "path", F.translate(_without_blocks(F.col("t")), MARK, " ").alias("t"))
+    lines = plain.select("id", "path", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(F.col("line").rlike(CANDIDATE))
     parts = lines.withColumn("parts", F.split(F.regexp_replace("line", f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK))
     sizes = F.transform("parts", lambda p: F.length(p))
     spans = parts.withColumn("sizes", sizes).select("id", "path", "line_no", "line", "parts", "sizes", F.explode(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))).alias("k"))
     start = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(1), lambda a, x: a + x)
-    return spans.select("id", "path", (F.col("line_no") + 1).alias("line_no"), start.alias("start"), F.get("parts", F.col("k")).alias("match"), F.right(F.get("parts", F.col("k") - 1), F.lit(80)).alias("before"), F.left(F.get("parts", F.col("k") + 1), F.lit(80)).alias("after"))
+    found = spans.select("id", "path", (F.col("line_no") + 1).alias("line_no"), start.alias("start"), F.get("parts", F.col("k")).alias("match"), F.right(F.get("parts", F.col("k") - 1), F.lit(80)).alias("before"), F.left(F.get("parts", F.col("k") + 1), F.lit(80)).alias("after"))
+    return found.unionByName(_key_blocks(some))
 
 
 def value_of(match: Column) -> Column:
@@ -79,7 +100,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000, start: int = 0) -> DataFrame:
-    """n labelled lines from number start on (path, line, label), made by rule from digests of their numbers: random values in the forms of keys and tokens, against placeholders, digests and identifiers in their usual surroundings."""
+    """n labelled lines from number start on (path, line, label), made by rule from digests of their numbers: random values in the forms of keys and tokens, named or (known forms) bare, against placeholders, digests and identifiers in their usual surroundings."""
     i = F.col("id").cast("string")
     hexes, more = F.sha2(F.concat(F.lit("a"), i), 256), F.sha2(F.concat(F.lit("b"), i), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "x")
@@ -90,17 +111,30 @@ def labelled_findings(spark: SparkSession, n: int = 4000, start: int = 0) -> Dat
     prose = pick(["", "see the of and ", "// ", "export ", "the value ", "  "], 3)
     code_path = pick(["src/app.py", "config/settings.yaml", "deploy/prod.env", "src12", "lib/client.js", ""], 4)
     test_path = pick(["tests/test_app.py", "docs/guide.md", "examples/demo.py", "src12", "README.md", ""], 5)
-    secret = pick(["hex40", "hex32", "b64", "aws", "gh", "short", "HEX40"], 6)
+    # a third of the secrets are known forms, most of them bare
+    draw = F.pmod(F.xxhash64("id", F.lit(13)), F.lit(12))
+    secret = F.when(draw < 4, pick(["aws", "gh", "xox", "sk", "jwt", "google", "pem"], 20)).otherwise(pick(["hex40", "hex32", "b64", "aws", "gh", "short", "HEX40"], 6))
+    bare = draw < 3
+    more64 = F.regexp_replace(F.base64(F.unhex(more)), "[+/=]", "x")
+    kinds = pick(["", "RSA ", "EC ", "OPENSSH "], 14)
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2) + F.pmod(F.xxhash64("id", F.lit(15)), F.lit(24)).cast("int")), lambda k: F.left(F.base64(F.unhex(F.concat(F.sha2(F.concat(i, F.lit("c"), k.cast("string")), 256), F.sha2(F.concat(i, F.lit("d"), k.cast("string")), 256)))), F.lit(64))), "\n")
     value = (
         F.when(secret == "hex40", F.left(hexes, F.lit(40)))
         .when(secret == "HEX40", F.upper(F.left(hexes, F.lit(40))))
         .when(secret == "hex32", F.left(hexes, F.lit(32)))
         .when(secret == "b64", b64)
         .when(secret == "aws", F.concat(F.lit("AKIA"), F.upper(F.left(hexes, F.lit(16)))))
-        .when(secret == "gh", F.concat(F.lit("ghp_"), F.left(b64, F.lit(36))))
+        .when(secret == "gh", F.concat(pick(["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], 16), F.left(b64, F.lit(36))))
+        .when(secret == "xox", F.concat(pick(["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], 17), F.translate(F.left(more, F.lit(12)), "abcdef", "012345"), F.lit("-"), F.left(b64, F.lit(24))))
+        .when(secret == "sk", F.concat(pick(["sk-", "sk-live_", "sk-proj-"], 18), F.left(b64, F.lit(32))))
+        .when(secret == "jwt", F.concat(F.lit("eyJ"), F.left(b64, F.lit(33)), F.lit(".eyJ"), F.left(more64, F.lit(40)), F.lit("."), b64))
+        .when(secret == "google", F.concat(F.lit("AIza"), F.left(b64, F.lit(35))))
+        .when(secret == "pem", F.concat(F.lit("-----BEGIN "), kinds, F.lit("PRIVATE KEY-----\n"), body, F.lit("\n-----END "), kinds, F.lit("PRIVATE KEY-----")))
         .otherwise(F.left(b64, F.lit(14)))
     )
-    good = F.concat(prose, name, sign, value, close, F.lit(" "), pick(["of the", "# keep", "", "and"], 7))
+    tail = pick(["of the", "# keep", "", "and", "of the", "# keep", "and the", "of this version"], 7)
+    ahead = pick(["", "- ", "https://api.site.net/v1/items?k=", "Bearer ", "2024-03-01 12:00:07 INFO sent ", "['", "see the of and ", "x-header: "], 19)
+    good = F.when(bare, F.concat(ahead, value, F.when(ahead.endswith("'"), "'").otherwise(""), F.lit(" "), tail)).otherwise(F.concat(prose, name, sign, value, close, F.lit(" "), tail))
     holder = pick(["your-api-key-here", "changeme123", "xxxxxxxxxxxx", "example_token_value", "placeholder_password", "dummy-secret-key", "test_token_1234", "insert_your_token_here", "default_password", "process.env.TOKEN"], 8)
     uuid = F.concat_ws("-", F.left(hexes, F.lit(8)), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
     kind = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(5))
