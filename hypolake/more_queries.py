@@ -167,7 +167,7 @@ LEADERBOARD_SQL = f"""WITH q AS ({_P}), a AS (SELECT a.run_id, sum(CASE WHEN a.p
 
 def effect_intervals(e: Entities) -> DataFrame:
     """M8: odds ratios with intervals of the 2 x 2 cells."""
-    return rounded(metrics.odds_ratio_intervals(V.effect_sizes(e), ["cohort", "dimension"], reps=20))
+    return rounded(metrics.odds_ratio_intervals(V.effect_sizes(e), ["cohort", "dimension"]))
 
 
 def predicted_rank(e: Entities) -> DataFrame:
@@ -230,7 +230,7 @@ def scorer_metrics(e: Entities) -> DataFrame:
 def _oof(maker, fold) -> Plan:
     def plan(e: Entities) -> DataFrame:
         rows = fold(ml.labelled(V.strict_cohort(e, 1)).persist()).persist()  # a row for each pair; every fit reads it
-        scored = ml.out_of_fold(rows, maker, ml.feature_names(), 3).select("label", "p").persist()
+        scored = ml.out_of_fold(rows, maker, ml.feature_names()).select("label", "p").persist()
         return metrics.all_metrics(scored.select(F.lit("model").alias("model"), "p", (F.col("label") == 1).alias("y")), ["model"])
 
     return plan
@@ -303,8 +303,8 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "c_scorer_metrics": (scorer_metrics, None),
     "c1_random": (_scored("random_v1"), None),
     "l1_features": (feature_table, _feature_sql()),
-    "l3_logistic_group_folds": (_oof(ml.logistic(0.5), lambda d: ml.group_folds(d, k=3)), None),
-    "l5_forest_stratified": (_oof(ml.forest(20, 5), lambda d: ml.stratified_folds(d, 3)), None),
+    "l3_logistic_group_folds": (_oof(ml.logistic(0.5), ml.group_folds), None),
+    "l5_forest_stratified": (_oof(ml.forest(), ml.stratified_folds), None),
     "x_hourly_windows": (hourly, HOURLY_SQL),
     "x_sessions": (user_sessions, SESSIONS_SQL),
 } | {f"c_{name}": (_scored(name), text) for name, text in SCORER_SQL.items()}

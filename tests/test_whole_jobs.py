@@ -57,3 +57,34 @@ def test_leaderboard_has_the_bootstrap_interval(predictions, expected):
         low, high = got[run]["auc_ci"].strip("[]").split(", ")
         assert (float(low), float(high)) == (pytest.approx(lo, abs=6e-4), pytest.approx(hi, abs=6e-4))
     assert got[3]["auc_ci"] is None
+
+
+def test_odds_ratios_take_500_draws(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", 12, 8, 9, 31)], "cohort string, dimension string, high_approved long, high_failed long, low_approved long, low_failed long")
+    monkeypatch.setattr(M.V, "effect_sizes", lambda e: cells)
+    got = M.QUERIES["m8_odds_ratio_intervals"][0](None).first()
+    values = []
+    for rep in range(500):
+        c = [0] * 4
+        for i in range(60):
+            d = int(hashlib.md5(f"42:{rep}:{i}".encode()).hexdigest()[:8], 16) % 60
+            c[0 if d < 12 else 1 if d < 20 else 2 if d < 29 else 3] += 1
+        a, b, e, f = (x + 0.5 for x in c) if 0 in c else c
+        values.append(a * f / (b * e))
+    values.sort()
+    assert [got["odds_ratio_lo"], got["odds_ratio_hi"]] == pytest.approx([values[12], values[487]], abs=1e-7)
+
+
+@pytest.mark.parametrize(("name", "trees"), [("l3_logistic_group_folds", None), ("l5_forest_stratified", (200, 8))])
+def test_models_take_five_folds_and_all_trees(spark, monkeypatch, name, trees):
+    rows = spark.range(60).selectExpr("id AS target_id", "id AS indication_id", "CAST(id % 3 = 0 AS DOUBLE) AS label")
+    seen = []
+    monkeypatch.setattr(M.V, "strict_cohort", lambda e, n: rows)
+    monkeypatch.setattr(M.ml, "labelled", lambda d: d)
+    monkeypatch.setattr(M.ml, "out_of_fold", lambda d, maker, names, k=5: seen.append((maker, k, d.select("fold").distinct().count())) or d.selectExpr("label", "0.5D AS p"))
+    M.QUERIES[name][0](None)
+    maker, k, folds = seen[0]
+    assert (k, folds) == (5, 5)
+    if trees:
+        held = dict(zip(maker.__code__.co_freevars, (c.cell_contents for c in maker.__closure__)))
+        assert (held["trees"], held["depth"]) == trees
