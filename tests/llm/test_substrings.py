@@ -92,3 +92,29 @@ def test_spans_of_one_anchor_that_share_32_bits(spark):
     rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(b))]
     got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(documents(spark, rows)).collect()}
     assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_any_length_and_seed(spark):
+    rng = random.Random(18)
+    passage, many = text(rng, 130), text(rng, 70)
+    rows = [(i, f"{text(rng, rng.randint(0, 30))} {passage if i % 2 else many} {text(rng, 9)}") for i in range(10)]
+    rows += [(20, f"{passage} {passage}"), (21, "a b " * 70), (22, " ".join(rng.choice("ab") for _ in range(200))), (23, " ".join(many.split()[5:64])), (24, None)]
+    for length in (5, 20, 22, 50):
+        got = sorted(tuple(r)[:4] for r in substrings.remove_repeats(documents(spark, rows), length=length).collect())
+        assert got == slow(rows, length), length
+
+
+def test_ids_that_are_texts(spark):
+    p = text(random.Random(19), 40)
+    df = spark.createDataFrame([("b", p), ("a", f"x {p}"), (None, p[:-1] + "q"), ("b", p)], "doc_id string, text string")
+    got = sorted((r["doc_id"] or "", r["n_removed"]) for r in substrings.remove_repeats(df).collect())
+    assert got == [("", 0), ("a", 39), ("b", 40), ("b", 40)]
+
+
+def test_extension_decides_on_words():
+    w = [b"w%d" % i for i in range(60)]
+    assert substrings.extended(w, w[5:50], 5, (10, 30), 20) == [(5, 50)]
+    other = w[5:30] + [b"x"] + w[31:50]
+    assert substrings.extended(w, other, 5, (8, 40), 20) == [(5, 30)]
+    assert substrings.extended(w, [b"x"] * 45, 5, (8, 40), 20) == []
+    assert substrings.extended(w, [b"x", *w[:25]], -1, (0, 20), 20) == [(0, 25)]
