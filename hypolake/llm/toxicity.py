@@ -1,29 +1,37 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled texts: one on windows of
-ordinary text, one on the passages that set toxic text apart (word beginnings
-that stand in toxic documents far more often than in ordinary ones and in many
-different contexts, so that copies of one document teach nothing). The toxic
-dictionary carries the ordinary one as background, so a window's two compressed
-lengths differ by what only the toxic passages explain. Windows that differ are
-looked at again in pieces of two words at a higher level. A logistic curve over
-the largest differences and their number, fitted on labelled documents that no
-dictionary has seen, gives the calibrated score.
-
-The model is fitted on the driver from at most MAX_TOXIC + MAX_ORDINARY labelled
-documents of at most MAX_SAMPLE_CHARS characters, chosen by a hash of their ids;
-every document is scored, and whole.
-
-Defined cases: a null or empty text gets the curve's value for no difference;
-without labelled documents of both kinds all scores are 0; a document labelled
-twice counts as toxic if one label says so; repeated rows are scored each for
-itself; an empty table gives an empty result; other columns are ignored.
+Separate zstandard dictionaries are trained on windows of toxic and of ordinary
+text; both stand over one background, a third dictionary trained on ordinary
+windows, so that the two compressed lengths of a window differ by what only one
+of the two explains. A toxic document is mostly ordinary text. The windows that
+a dictionary is trained on are therefore chosen by the dictionaries of the round
+before, crosswise, so that no document judges itself: of toxic documents those
+that the toxic dictionary compresses better, of ordinary documents those that it
+wrongly compresses better. No words are counted, listed or looked up.
+
+A document's features are numbers of windows whose lengths differ by at least
+so many bytes. Thresholds and weights are calibrated by a logistic curve on
+labelled documents that no dictionary has seen, at the labels' own share of toxic
+documents, where a missed toxic document counts as MISS_COST false alarms.
+
+The model is fitted on the driver from at most max_toxic + max_ordinary labelled
+documents, chosen by a hash of their ids; of a text over EXCERPT_FROM characters
+ten evenly spaced pieces take part, of EXCERPT_FROM characters together. Every
+document is scored, and whole.
+
+Defined cases: a null or empty text gets the curve's value for no window; without
+labelled documents of both kinds all scores are 0; a document labelled twice
+counts as toxic if one label says so; labels of ids that the documents lack are
+ignored; of several texts of one labelled id the least is taken; repeated rows
+are scored each for itself; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,144 +42,176 @@ from pyspark.sql import functions as F
 
 from hypolake.llm.common import small_batches
 
-MAX_TOXIC, MAX_ORDINARY, MAX_SAMPLE_CHARS = 2000, 3000, 100_000
-WINDOW, OVERLAP, LEVEL, ZOOM_LEVEL, ZOOM_WORDS, SUSPICIOUS = 64, 20, 5, 12, 2, 2
-DICTIONARY_BYTES, SHORTEST, LONGEST = 32_768, 4, 14
+MAX_TOXIC, MAX_ORDINARY, EXCERPT_FROM = 3000, 5000, 100_000
+#: Words of a window, bytes after which a word is cut, and windows of one document that training looks at.
+WORDS, LONGEST_WORD, TRAINING_WINDOWS = 2, 48, 2000
+#: zstandard level and shortest match; bytes of the background and of both dictionaries, by round.
+LEVEL, MIN_MATCH, BACKGROUND, ROUNDS = 12, 3, 65_536, (65_536, 16_384, 8_192, 4_096)
+#: Pairs of dictionaries from halves of the documents that windows which differ are compared by again.
+PAIRS, IN_ROUNDS = 8, 2
+#: Bytes by which a window must differ to train the next round, and windows of a toxic document that do, at most.
+APART, MOST = 2, 4
+#: Windows that the background and the first ordinary dictionaries are trained on, at most; entries of the cache of a task.
+BACKGROUND_WINDOWS, CACHE_ENTRIES = 60_000, 200_000
+STEPS = (2, 3, 4, 5, 6)
+#: False alarms that a missed toxic document is worth.
+MISS_COST = 3.0
+
+
+def windows(text: str | None) -> Iterator[bytes]:
+    """Every run of WORDS words, lower-cased, with blanks around; words beyond LONGEST_WORD bytes are cut in pieces."""
+    words = (text or "").lower().encode().split()
+    if any(len(w) > LONGEST_WORD for w in words):
+        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
+    for i in range(max(min(1, len(words)), len(words) - WORDS + 1)):
+        yield b" " + b" ".join(words[i : i + WORDS]) + b" "
 
 
 @dataclass
 class Model:
-    ordinary: bytes = b""
-    toxic: bytes = b""
+    """Dictionaries (the first pair from all documents, the others from halves of them) and the curve's weights."""
+
+    background: bytes = b""
+    ordinary: list[bytes] = field(default_factory=list)
+    toxic: list[bytes] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
     def ready(self) -> Model:
-        if self.toxic:
-            # the passages backwards take the same room, so that places in the background cost the same in both
-            both = (self.ordinary + self.toxic[::-1], self.ordinary + self.toxic)
-            self._wide = [_compressor(d, LEVEL, 5, WINDOW) for d in both]
-            self._near = [_compressor(d, ZOOM_LEVEL, 4, 64) for d in both]
+        if self.known():
+            self._pairs = [tuple(_compressor(self.background + d).compress for d in pair) for pair in zip(self.ordinary, self.toxic)]
             # a known start makes every window compress, else short ones may be stored as they are
-            self._pad = self.ordinary[-400:-368]
-            self._seen: dict[bytes, int] = {}
+            self._pad = self.background[-400:-368]
+            self._seen: dict[bytes, float] = {}
         return self
 
-    def _piece(self, piece: bytes) -> int:
-        if piece not in self._seen:
-            if len(self._seen) > 200_000:
+    def known(self) -> bool:
+        return bool(self.toxic and self.toxic[0])
+
+    def apart(self, window: bytes) -> float:
+        """Bytes that the toxic dictionary saves over the ordinary one; where the first pair differs by APART or more, the mean of all pairs."""
+        d = self._seen.get(window)
+        if d is None:
+            padded = self._pad + window
+            ordinary, toxic = self._pairs[0]
+            d = len(ordinary(padded)) - len(toxic(padded))
+            if d >= APART and len(self._pairs) > 1:
+                d = (d + sum(len(a(padded)) - len(b(padded)) for a, b in self._pairs[1:])) / len(self._pairs)
+            if len(self._seen) >= CACHE_ENTRIES:
                 self._seen.clear()
-            a, b = (len(c.compress(self._pad + piece)) for c in self._near)
-            self._seen[piece] = a - b
-        return self._seen[piece]
+            self._seen[window] = d
+        return d
 
     def features(self, text: str | None) -> list[float]:
-        """Largest differences of windows and of pieces, and numbers of pieces that differ by 2 and by 3 bytes or more."""
-        data, wide, near, twos, threes = (text or "").encode().lower(), 0, 0, 0, 0
-        ordinary, toxic = (c.compress for c in self._wide)
-        pad = self._pad
-        for at in range(0, len(data), WINDOW):
-            window = data[at : at + WINDOW + OVERLAP]
-            d = len(ordinary(pad + window)) - len(toxic(pad + window))
-            if d < SUSPICIOUS:
-                continue
-            wide = max(wide, d)
-            words = window.split()
-            found = {i: self._piece(b" " + b" ".join(words[i : i + ZOOM_WORDS]) + b" ") for i in range(len(words))}
-            near = max([near, *found.values()])
-            twos += max(found.values(), default=0) >= 2
-            threes += max(found.values(), default=0) >= 3
-        return [1.0, float(min(wide, 12)), float(min(near, 10)), math.log1p(twos), math.log1p(threes), 1000 * threes / (1000 + len(data))]
+        """Largest differences, numbers of windows by difference as they are and beside the text's length, and the mean."""
+        counts, n, total = [0] * (STEPS[-1] + 1), 0, 0
+        top = [0, 0, 0]
+        for w in windows(text):
+            d = self.apart(w)
+            n += 1
+            total += d
+            if d > 0:
+                counts[min(int(d + 0.5), STEPS[-1])] += 1
+                if d > top[0]:
+                    top = sorted([*top[1:], d])
+        at_least = [sum(counts[s:]) for s in STEPS]
+        size = math.sqrt(n + 1)
+        return [1.0, float(min(top[2], 12)), min(sum(top) / 3, 12.0), *(math.log1p(c) for c in at_least), *(c / size for c in at_least[1:4]), math.log1p(n), total / (n + 1)]
 
     def score(self, text: str | None) -> float:
-        if not self.toxic:
+        if not self.known():
             return 0.0
         x = sum(w * f for w, f in zip(self.weights, self.features(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _compressor(raw: bytes, level: int, min_match: int, size: int):
+def _compressor(raw: bytes):
     import zstandard
 
     d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    p = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(raw), source_size=size, min_match=min_match, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(raw), source_size=32, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def _beginnings(word: str) -> list[str]:
-    word = f" {word} "
-    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
-
-
-def toxic_passages(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Word beginnings of toxic text that ordinary text lacks, rarest first."""
-    in_toxic = Counter(b for x in toxic for b in {b for w in set(x.lower().split()) for b in _beginnings(w)})
-    in_ordinary = Counter(b for x in ordinary for w in [{b for w in set(x.lower().split()) for b in _beginnings(w)} & in_toxic.keys()] for b in w)
-    n, m = len(toxic), len(ordinary)
-    enough = max(3, 0.02 * n)
-
-    def apart(b: str) -> bool:
-        a, o = in_toxic[b], in_ordinary[b]
-        share = (a + o) / (n + m)
-        return a >= enough and (a + 0.5) / n > 10 * (o + 0.5) / m and a - n * share > 4 * math.sqrt(n * share * (1 - share) * m / (n + m) + 0.5)
-
-    likely = {b for b in in_toxic if apart(b)}
-    contexts: set[tuple[str, str]] = set()
-    for x in toxic:
-        words = x.lower().split()
-        for before, w in zip(["", *words], words):
-            contexts.update((b, before) for b in _beginnings(w) if b in likely)
-    spread = Counter(b for b, _ in contexts)
-    good = {b for b in likely if spread[b] >= enough}
-    longer: dict[str, list[str]] = {}
-    for b in good:
-        longer.setdefault(b[:-1], []).append(b)
-    found = set()
-    for b in good:
-        if b[:-1] in good:
-            continue
-        # the longest form that most of the occurrences share
-        while (nexts := longer.get(b)) and in_toxic[best := max(nexts, key=lambda c: (in_toxic[c], c))] >= 0.8 * in_toxic[b]:
-            b = best
-        found.add(b)
-    return sorted(found, key=lambda b: (in_toxic[b], b))
-
-
-def fit(rows: list[tuple[int, str, int]]) -> Model:
-    """Model from (id, text, toxic) rows: dictionaries from one half, the curve from the other."""
-    import random
-    import zlib
-
+def trained(samples: list[bytes], size: int, segment: int = 16, d: int = 6) -> bytes:
+    """Content of a zstandard dictionary of ``size`` bytes trained on samples; fewer samples than training takes stand for themselves."""
     import zstandard
 
+    samples = list(samples)
+    random.Random(7).shuffle(samples)
+    try:
+        # the tables in front of the content are cut off: both sides are compared by content alone
+        return zstandard.train_dictionary(size + 300, samples, k=segment, d=d).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    """Background, ordinary and toxic dictionary; each half of the documents chooses by the dictionaries of the other half."""
+    looked_at = lambda x: [w for w, _ in zip(windows(x), range(TRAINING_WINDOWS))]
+    toxic_half = [[looked_at(x) for x in toxic[i::2]] for i in (0, 1)]
+    ordinary_half = [[w for x in ordinary[i::2] for w in looked_at(x)] for i in (0, 1)]
+    for half in ordinary_half:
+        random.Random(5).shuffle(half)
+    background = trained([w for half in ordinary_half for w in half[: BACKGROUND_WINDOWS // 2]], BACKGROUND, 32, 8)
+    chosen = toxic_half
+    wrong = [half[: BACKGROUND_WINDOWS // 3] for half in ordinary_half]
+    for i, size in enumerate(ROUNDS):
+        models = [bagged(background, o, t, size, IN_ROUNDS).ready() for o, t in zip(wrong, chosen)]
+        if not all(m.known() for m in models):
+            break
+        better = []
+        for half, other in zip(toxic_half, models[::-1]):
+            picked = []
+            for doc in half:
+                best = sorted(((other.apart(w), w) for w in doc), reverse=True)[: max(2, min(MOST, len(doc) // 4))]
+                picked.append([w for d, w in best if d >= APART])
+            better.append(picked)
+        found = [[w for w in half if other.apart(w) >= APART] for half, other in zip(ordinary_half, models[::-1])]
+        wrong = found if i == 0 else [a + b for a, b in zip(wrong, found)]
+        chosen = better
+    return bagged(background, wrong[0] + wrong[1], chosen[0] + chosen[1], ROUNDS[-1], PAIRS)
+
+
+def bagged(background: bytes, ordinary: list[bytes], toxic: list[list[bytes]], size: int, pairs: int) -> Model:
+    """Dictionaries from all windows (those of toxic text by document), and ``pairs`` more from random halves of them."""
+    parts = [(ordinary, toxic)]
+    for k in range(pairs // 2):
+        some, docs = list(ordinary), list(toxic)
+        rng = random.Random(k)
+        rng.shuffle(some)
+        rng.shuffle(docs)
+        parts += [(some[i::2], docs[i::2]) for i in (0, 1)]
+    return Model(background, [trained(o, size) for o, _ in parts], [trained([w for doc in t for w in doc], size) for _, t in parts])
+
+
+def fit(rows: list[tuple[int, str, int]], share: float | None = None) -> Model:
+    """Model from (id, text, toxic) rows: dictionaries from three quarters, the curve from the others, weighted to the given share of toxic documents (none: as they are)."""
     rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
-    half = [r for r in rows if zlib.crc32(f"half {r[0]}".encode()) % 3]
-    rest = [r for r in rows if not zlib.crc32(f"half {r[0]}".encode()) % 3]
+    rest = [r for r in rows if not zlib.crc32(f"half {r[0]}".encode()) % 4]
+    half = [r for r in rows if zlib.crc32(f"half {r[0]}".encode()) % 4]
     toxic, ordinary = ([x or "" for _, x, y in half if y == k] for k in (1, 0))
-    passages = toxic_passages(toxic, ordinary) if toxic and ordinary else []
-    if not passages:
+    if not toxic or not ordinary:
         return Model()
-    windows = [d[i : i + 400] for x in ordinary for d in [x.lower().encode()] for i in range(0, len(d), 400)]
-    random.Random(7).shuffle(windows)
-    try:
-        background = zstandard.train_dictionary(DICTIONARY_BYTES, windows[:20_000]).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        background = b"".join(windows)[-DICTIONARY_BYTES:]
-    model = Model(background, "".join(passages).encode()).ready()
-    x = [model.features(t) for _, t, _ in rest] or [[1.0] + [0.0] * 5]
-    y = [float(k) for _, _, k in rest] or [0.0]
-    model.weights = _logistic(x, y)
+    model = dictionaries(toxic, ordinary).ready()
+    if not model.known():
+        return Model()
+    y = [float(k) for _, _, k in rest]
+    n = [max(1.0, len(y) - sum(y)), max(1.0, sum(y))]
+    share = sum(y) / max(1, len(y)) if share is None else share
+    weights = [(MISS_COST * share / n[1] if k else (1 - share) / n[0]) * len(y) for k in y]
+    model.weights = _logistic([model.features(t) for _, t, _ in rest] or [model.features("")], y or [0.0], weights or [1.0])
     return model
 
 
-def _logistic(x, y, penalty: float = 0.1) -> list[float]:
+def _logistic(x, y, weights, penalty: float = 0.3) -> list[float]:
     import numpy as np
 
-    x, y = np.array(x), np.array(y)
+    x, y, c = np.array(x), np.array(y), np.array(weights)
     w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
     ridge[0, 0] = 1e-3
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (c * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -183,21 +223,31 @@ def remainder(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> list[tuple[int, str, int]]:
-    """At most max_toxic + max_ordinary labelled documents outside the held-out fold, by a hash of their ids."""
+def excerpt(text: Column) -> Column:
+    """A text of at most EXCERPT_FROM characters as it is; of a longer one ten evenly spaced pieces."""
+    piece = EXCERPT_FROM // 10
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.substr(text, F.lit(1) + F.floor((F.length(text) - piece) * i / 9).cast("int"), F.lit(piece)))
+    return F.when(F.length(text) > EXCERPT_FROM, F.array_join(pieces, " ")).otherwise(F.coalesce(text, F.lit("")))
+
+
+def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> tuple[list[tuple[int, str, int]], float | None]:
+    """At most max_toxic + max_ordinary labelled documents outside the held-out fold, by a hash of their ids, and the share of toxic ones among all of them."""
     known = labels.where(remainder(id_col) != 0).groupBy(id_col).agg(F.max(label_col).alias("y")).where("y in (0, 1)")
+    known = known.join(df.select(id_col), id_col, "left_semi")
+    counts = known.agg(F.count("*"), F.sum("y")).first()
     some = [known.where(F.col("y") == k).orderBy(F.xxhash64(id_col), id_col).limit(n) for k, n in ((1, max_toxic), (0, max_ordinary))]
     ids = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two limits
-    return [(r[0], r[1], r[2]) for r in df.select(id_col, text_col).where(F.coalesce(F.length(text_col), F.lit(0)) <= MAX_SAMPLE_CHARS).join(ids, id_col).dropDuplicates([id_col]).select(id_col, text_col, "y").collect()]
+    texts = df.select(id_col, text_col).join(ids, id_col).groupBy(id_col, "y").agg(F.min(excerpt(F.col(text_col))).alias("x"))
+    return [(r[0], r["x"], r["y"]) for r in texts.collect()], counts[1] / counts[0] if counts[0] else None
 
 
 def train(df: DataFrame, labels: DataFrame, **names) -> Model:
-    return fit(sample(df, labels, **names))
+    return fit(*sample(df, labels, **names))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's id, held_out, score and predicted."""
-    spec = (model.ordinary, model.toxic, model.weights)
+    spec = (model.background, model.ordinary, model.toxic, model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*spec).ready()
@@ -211,7 +261,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """df's rows whose score is below the threshold, with all their columns. Only texts go to Python, and only scores come back."""
-    spec = (model.ordinary, model.toxic, model.weights)
+    spec = (model.background, model.ordinary, model.toxic, model.weights)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
