@@ -42,28 +42,28 @@ from pyspark.sql import functions as F
 
 from hypolake.llm.common import small_batches
 
-MAX_TOXIC, MAX_ORDINARY, EXCERPT_FROM = 3000, 5000, 100_000
+MAX_TOXIC, MAX_ORDINARY, EXCERPT_FROM = 3000, 4000, 100_000
 #: Words of a window, bytes after which a word is cut, and windows of one document that training looks at.
-WORDS, LONGEST_WORD, TRAINING_WINDOWS = 2, 48, 2000
-#: zstandard level and shortest match; bytes of the background and of both dictionaries, by round.
-LEVEL, MIN_MATCH, BACKGROUND, ROUNDS = 12, 3, 65_536, (65_536, 16_384, 8_192, 4_096)
-#: Pairs of dictionaries from halves of the documents that windows which differ are compared by again.
-PAIRS, IN_ROUNDS = 8, 2
+WORDS, LONGEST_WORD, TRAINING_WINDOWS = 4, 48, 1000
+#: zstandard level, shortest match and depth of search; bytes of the background and of both dictionaries, by round.
+LEVEL, MIN_MATCH, SEARCH, BACKGROUND, ROUNDS = 12, 3, 4, 16_384, (65_536, 16_384, 8_192, 4_096)
+#: Further pairs of dictionaries, from halves of the documents, in the model and in the rounds, and the difference from which they are asked.
+PAIRS, IN_ROUNDS, LOOK_AGAIN = 2, 2, 3
 #: Bytes by which a window must differ to train the next round, and windows of a toxic document that do, at most.
-APART, MOST = 2, 4
-#: Windows that the background and the first ordinary dictionaries are trained on, at most; entries of the cache of a task.
-BACKGROUND_WINDOWS, CACHE_ENTRIES = 60_000, 200_000
+APART, MOST = 3, 4
+#: Windows that the background and the first ordinary dictionaries are trained on, at most.
+BACKGROUND_WINDOWS = 60_000
 STEPS = (2, 3, 4, 5, 6)
 #: False alarms that a missed toxic document is worth.
 MISS_COST = 3.0
 
 
 def windows(text: str | None) -> Iterator[bytes]:
-    """Every run of WORDS words, lower-cased, with blanks around; words beyond LONGEST_WORD bytes are cut in pieces."""
+    """Runs of WORDS words one after another, lower-cased, with blanks around; words beyond LONGEST_WORD bytes are cut in pieces."""
     words = (text or "").lower().encode().split()
     if any(len(w) > LONGEST_WORD for w in words):
         words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-    for i in range(max(min(1, len(words)), len(words) - WORDS + 1)):
+    for i in range(0, len(words), WORDS):
         yield b" " + b" ".join(words[i : i + WORDS]) + b" "
 
 
@@ -81,24 +81,18 @@ class Model:
             self._pairs = [tuple(_compressor(self.background + d).compress for d in pair) for pair in zip(self.ordinary, self.toxic)]
             # a known start makes every window compress, else short ones may be stored as they are
             self._pad = self.background[-400:-368]
-            self._seen: dict[bytes, float] = {}
         return self
 
     def known(self) -> bool:
         return bool(self.toxic and self.toxic[0])
 
     def apart(self, window: bytes) -> float:
-        """Bytes that the toxic dictionary saves over the ordinary one; where the first pair differs by APART or more, the mean of all pairs."""
-        d = self._seen.get(window)
-        if d is None:
-            padded = self._pad + window
-            ordinary, toxic = self._pairs[0]
-            d = len(ordinary(padded)) - len(toxic(padded))
-            if d >= APART and len(self._pairs) > 1:
-                d = (d + sum(len(a(padded)) - len(b(padded)) for a, b in self._pairs[1:])) / len(self._pairs)
-            if len(self._seen) >= CACHE_ENTRIES:
-                self._seen.clear()
-            self._seen[window] = d
+        """Bytes that the toxic dictionary saves over the ordinary one; where the first pair differs by LOOK_AGAIN or more, the mean of all pairs."""
+        window = self._pad + window
+        ordinary, toxic = self._pairs[0]
+        d = len(ordinary(window)) - len(toxic(window))
+        if d >= LOOK_AGAIN and len(self._pairs) > 1:
+            d = (d + sum(len(a(window)) - len(b(window)) for a, b in self._pairs[1:])) / len(self._pairs)
         return d
 
     def features(self, text: str | None) -> list[float]:
@@ -128,7 +122,7 @@ def _compressor(raw: bytes):
     import zstandard
 
     d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(raw), source_size=32, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(raw), source_size=32, min_match=MIN_MATCH, search_log=SEARCH, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
