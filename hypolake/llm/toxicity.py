@@ -46,7 +46,7 @@ MAX_TOXIC, MAX_ORDINARY, EXCERPT_FROM = 3000, 4000, 100_000
 #: Words of a window, bytes after which a word is cut, and windows of one document that training looks at.
 WORDS, LONGEST_WORD, TRAINING_WINDOWS = 4, 48, 1000
 #: zstandard level, shortest match and depth of search; bytes of the background and of both dictionaries, by round.
-LEVEL, MIN_MATCH, SEARCH, BACKGROUND, ROUNDS = 12, 3, 4, 16_384, (65_536, 16_384, 8_192, 4_096)
+LEVEL, MIN_MATCH, SEARCH, BACKGROUND, ROUNDS = 12, 3, 4, 32_768, (65_536, 16_384, 8_192, 4_096)
 #: Further pairs of dictionaries, from halves of the documents, in the model and in the rounds, and the difference from which they are asked.
 PAIRS, IN_ROUNDS, LOOK_AGAIN = 2, 2, 3
 #: Bytes by which a window must differ to train the next round, and windows of a toxic document that do, at most.
