@@ -2,15 +2,19 @@
 
 Vectors are packed, as they are read, into blocks that hold for every component
 the bit slices of its quantised value (the low bits beyond KEPT_BITS are left
-out) and the exact integers. A query adds the slices of a block, each as often
-as the bits of its own component say, with bitmap arithmetic only (carry-save
-adders), which gives the quantised score of all rows as slices again. From the
-most significant slice downward the k best rows and the least quantised score
-among them are found; rows that could still reach it, by the bound on what the
-low bits add, are the boundary, and their scores are computed exactly.
-
-Blocks of candidates meet blocks of queries by an equi-join on the number of the
-query block; each pair of blocks gives k rows a query, which are ranked at last.
+out) and the exact integers, in the least width that takes them. A query adds the
+slices of a block, each as often as the bits of its own component say, with bitmap
+arithmetic only (carry-save adders), which gives the quantised score of all rows
+as slices again. From the most significant slice downward the k best rows and the
+least quantised score among them are found; rows that could still reach it, by the
+bound on what the low bits add, are the boundary, and their scores are computed
+exactly.
+
+Blocks stay where they are made and are never shuffled. Queries are dealt by a
+hash of their ids into groups of about GROUP_BYTES, and a group at a time is sent
+to all blocks: what is sent at once is bounded whatever the number of queries, and
+with several groups the sliced blocks are written once and read for each. Only k
+rows a query and task are shuffled, to be ranked.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id; only vectors of the query's
@@ -30,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bits of a component in the index; rows and bytes of a block of candidates, at most; queries of a block.
-KEPT_BITS, BLOCK_ROWS, BLOCK_BYTES, BLOCK_QUERIES = 6, 16_384, 1 << 25, 256
+from hypolake.llm.common import written
+
+#: Bits of a component in the index; rows and bytes of a block of candidates, at most; bytes of queries that are sent at once, about, and searched at once.
+KEPT_BITS, BLOCK_ROWS, BLOCK_BYTES, GROUP_BYTES, AT_ONCE = 6, 16_384, 1 << 25, 1 << 24, 64
 SCALE = 256
 
+BLOCK_COLUMNS = ["dim", "shift", "m", "width", "ids", "packed", "slices"]
+
 
 class Sum:
     """Sum of bitmaps by bit position in carry-save form: never more than two bitmaps wait at a position."""
@@ -76,16 +84,42 @@ class Block:
         low, high = self.values.min(axis=0), self.values.max(axis=0)
         bits = int(max(int(h) - int(b) for h, b in zip(high, low))).bit_length()
         self.shift = max(0, bits - KEPT_BITS)
-        self.low, self.m = low, max(1, bits - self.shift)
+        self.m = max(1, bits - self.shift)
         # differences of 64-bit integers fit into unsigned ones
         quantised = ((self.values.astype(np.uint64) - low.astype(np.uint64)) >> np.uint64(self.shift)).astype(np.uint16)
         n = len(ids)
         self.words = -(-n // 64)
         padded = np.zeros((self.words * 64, quantised.shape[1]), np.uint16)
         padded[:n] = quantised
-        self.slices = [[np.packbits((padded[:, d] >> b).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for b in range(self.m)] for d in range(values.shape[1])]
+        self.slices = np.stack([[np.packbits((padded[:, d] >> b).astype(np.uint8) & 1, bitorder="little").view(np.uint64) for b in range(self.m)] for d in range(values.shape[1])])
+        self._ends()
+
+    def _ends(self) -> None:
+        import numpy as np
+
+        n = len(self.ids)
+        self.least, self.most = int(self.values.min()), int(self.values.max())
         self.real = np.packbits(np.arange(self.words * 64) < n, bitorder="little").view(np.uint64)
 
+    def packed(self) -> tuple[int, int, int, bytes, bytes, bytes]:
+        """Bits left out, slices of a component, bytes of a value, and ids, values and slices."""
+        import numpy as np
+
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or (-(1 << 8 * w - 1) <= self.least and self.most < 1 << 8 * w - 1))
+        return self.shift, self.m, width, self.ids.tobytes(), self.values.astype(np.dtype(f"<i{width}")).tobytes(), self.slices.tobytes()
+
+    @classmethod
+    def unpacked(cls, dim: int, shift: int, m: int, width: int, ids: bytes, values: bytes, slices: bytes) -> Block:
+        import numpy as np
+
+        self = cls.__new__(cls)
+        self.shift, self.m, self.ids = shift, m, np.frombuffer(ids, np.int64)
+        self.values = np.frombuffer(values, np.dtype(f"<i{width}")).reshape(-1, dim)
+        self.words = -(-len(self.ids) // 64)
+        self.slices = np.frombuffer(slices, np.uint64).reshape(dim, m, self.words)
+        self._ends()
+        return self
+
     def quantised_scores(self, queries):
         """Slices (least first, each of queries x words) of sum |q_d| * (u_d or its complement)."""
         import numpy as np
@@ -107,7 +141,7 @@ class Block:
         import numpy as np
 
         slices = self.quantised_scores(queries)
-        wide = int(np.abs(queries).max(initial=0)) * int(max(abs(int(self.values.min())), abs(int(self.values.max())))) * queries.shape[1] >= 1 << 62
+        wide = int(np.abs(queries).max(initial=0)) * max(abs(self.least), abs(self.most)) * queries.shape[1] >= 1 << 62
         for q in range(len(queries)):
             # the low bits add between 0 and 2^shift - 1 for each unit of |q|, in either direction
             slack = int(np.abs(queries[q]).sum()) if self.shift else 0
@@ -119,7 +153,7 @@ class Block:
                 continue
             row = [None if s is None else s[q] for s in slices]
             rows = self._above(row, alive, self._least(row, alive, min(k, count)) - slack)
-            exact = (self.values[rows].astype(object) if wide else self.values[rows]) @ (queries[q].astype(object) if wide else queries[q])
+            exact = self.values[rows].astype(object if wide else np.int64) @ (queries[q].astype(object) if wide else queries[q])
             best = np.lexsort((self.ids[rows], -exact))[:k] if not wide else sorted(range(len(rows)), key=lambda i: (-exact[i], self.ids[rows[i]]))[:k]
             for i in best:
                 yield int(query_ids[q]), int(self.ids[rows[i]]), max(-(1 << 63), min((1 << 63) - 1, int(exact[i])))
@@ -175,7 +209,8 @@ def _packed(block_rows: int):
 
         def give(d: int) -> pa.RecordBatch:
             ids, values = (np.concatenate(x) for x in zip(*waiting.pop(d)))
-            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["dim", "ids", "packed"])
+            row = (d, *Block(ids, values).packed())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int32()] * 4 + [pa.binary()] * 3)], BLOCK_COLUMNS)
 
         for batch in batches:
             ids, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -201,26 +236,37 @@ def _searched(k: int):
         import numpy as np
 
         for batch in batches:
-            for d, ids, packed, queries in zip(*batch.columns):
-                d, found = d.as_py(), []
-                block = Block(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(packed.as_py(), np.int64).reshape(-1, d))
-                own = queries.as_py()
-                for a in range(0, len(own), 64):
-                    some = own[a : a + 64]
-                    found += block.search(np.array([q["vec_id"] for q in some], np.int64), np.array([q["v"] for q in some], np.int64), k)
+            for i in range(batch.num_rows):
+                row = [c[i].as_py() for c in batch.columns[:-1]]
+                block, own = Block.unpacked(*row), batch.columns[-1][i].values
+                ids, flat = own.field(0).to_numpy(), own.field(1).flatten().to_numpy().reshape(-1, row[0])
+                found = []
+                for a in range(0, len(ids), AT_ONCE):
+                    found += block.search(ids[a : a + AT_ONCE], flat[a : a + AT_ONCE], k)
                 cols = list(zip(*found)) if found else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The sliced blocks of df's vectors, one row each."""
+    return integer_vectors(df, id_col, vector_col, scale).mapInArrow(_packed(block_rows), "dim int, shift int, m int, width int, ids binary, packed binary, slices binary")
+
+
+def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of df with the highest integer inner product with each row of queries (same columns)."""
     asked = integer_vectors(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, ceil(asked.count() / BLOCK_QUERIES))
-    asked = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    index = integer_vectors(df, id_col, vector_col, scale).mapInArrow(_packed(BLOCK_ROWS), "dim int, ids binary, packed binary")
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["block", "dim"])
-    found = pairs.select("dim", "ids", "packed", "queries").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+    size = asked.agg(F.sum(8 * (F.size("v") + 1))).first()[0] or 0
+    groups = max(1, ceil(size / group_bytes))
+    blocks = index(df, id_col, vector_col, scale)
+    if groups > 1:
+        blocks, asked = written(blocks), written(asked)
+    found = None
+    for g in range(groups):
+        group = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).groupBy(F.size("v").alias("dim")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
+        pairs = blocks.join(F.broadcast(group), "dim")  # about group_bytes
+        part = pairs.select(*BLOCK_COLUMNS, "queries").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

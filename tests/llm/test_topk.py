@@ -73,9 +73,26 @@ def test_query_set_is_checked_in_blocks(spark):
     rng = random.Random(12)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(600)]
     df = frame(spark, rows)
-    topk.BLOCK_QUERIES, kept = 3, topk.BLOCK_QUERIES
+    topk.AT_ONCE, kept = 3, topk.AT_ONCE
     try:
         got = topk.top_k(df, df.where("vec_id % 50 = 0")).where(F.col("rank") == 1).count()
     finally:
-        topk.BLOCK_QUERIES = kept
+        topk.AT_ONCE = kept
     assert got == 12
+
+
+def test_many_groups_of_queries_and_stored_blocks(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(6)]) for i in range(0, 1500, 5)]
+    df = frame(spark, rows).repartition(3)
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), group_bytes=500)
+    assert sorted(tuple(r) for r in got.collect()) == slow(rows)
+    for top in (90, 20_000, 1 << 40):
+        values = np.array([[rng.randint(-top, top) for _ in range(5)] for _ in range(200)])
+        block = topk.Block(np.arange(200), values)
+        again = topk.Block.unpacked(5, *block.packed())
+        assert (again.values == block.values).all() and (again.slices == block.slices).all() and (again.real == block.real).all()
+        assert list(again.search(np.array([3]), values[3:4], 5)) == list(block.search(np.array([3]), values[3:4], 5))
+
