@@ -98,10 +98,13 @@ class Model:
     def features(self, text: str | None) -> list[float]:
         """Largest differences, numbers of windows by difference as they are and beside the text's length, and the mean."""
         counts, n, total = [0] * (STEPS[-1] + 1), 0, 0
-        top = [0, 0, 0]
+        top, pad, (ordinary, toxic), apart = [0, 0, 0], self._pad, self._pairs[0], self.apart
         for w in windows(text):
-            d = self.apart(w)
             n += 1
+            padded = pad + w
+            d = len(ordinary(padded)) - len(toxic(padded))
+            if d >= LOOK_AGAIN:
+                d = apart(w)
             total += d
             if d > 0:
                 counts[min(int(d + 0.5), STEPS[-1])] += 1
