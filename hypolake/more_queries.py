@@ -122,22 +122,24 @@ CALIBRATION_SQL = "SELECT run_id, CAST(floor(p * 10) + 1 AS INT) AS bin, count(*
 
 
 def bootstrap(e: Entities) -> DataFrame:
-    """M7 over the first rows of each run, 20 resamples."""
-    return rounded(metrics.bootstrap_auc(e.prediction.where("row_id < 600"), "row_id", ["run_id"], reps=20))
+    """M7 over all rows of each run, 200 resamples."""
+    return rounded(metrics.bootstrap_auc(e.prediction, "row_id", ["run_id"]))
 
 
-BOOTSTRAP_SQL = f"""WITH q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY row_id) - 1 AS r, count(*) OVER (PARTITION BY run_id) AS n FROM ({_P}) WHERE row_id < 600),
-  d AS (SELECT q.run_id, rep, ('0x' || substr(md5('42:' || rep || ':' || q.r), 1, 8))::BIGINT % q.n AS r FROM q CROSS JOIN (SELECT unnest(range(20)) AS rep)),
-  s AS (SELECT d.run_id, d.rep, q.p, q.y, count(*) AS w FROM d JOIN q ON q.run_id = d.run_id AND q.r = d.r GROUP BY ALL),
-  v AS (SELECT a.run_id, a.rep, sum(a.w * b.w * CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / sum(a.w * b.w) AS auc FROM s a JOIN s b ON a.run_id = b.run_id AND a.rep = b.rep WHERE a.y AND NOT b.y GROUP BY 1, 2),
-  l AS (SELECT run_id, list_sort(list(auc)) AS v FROM v GROUP BY run_id),
-  p AS (SELECT a.run_id, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS auc FROM q a JOIN q b ON a.run_id = b.run_id WHERE a.y AND NOT b.y GROUP BY a.run_id)
-  SELECT p.run_id, round(auc, 8) AS auc, round(v[1 + CAST(floor(len(v) * 0.025) AS INT)], 8) AS auc_lo, round(v[1 + CAST(floor(len(v) * 0.975) AS INT)], 8) AS auc_hi FROM p JOIN l ON l.run_id = p.run_id"""
+def _auc_of_weights(source: str, by: str) -> str:
+    """AUC of weighted rows (p, y, w) from the weight of negatives below and beside each score."""
+    return f"""(SELECT {by}, sum(pos * (below - neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM (
+      SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY p) AS below FROM (
+        SELECT {by}, p, CAST(sum(CASE WHEN y THEN w ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN y THEN 0 ELSE w END) AS DOUBLE) AS neg FROM {source} GROUP BY {by}, p)) GROUP BY {by})"""
 
 
-def bootstrap_all_rows(e: Entities) -> DataFrame:
-    """M7 over all rows of each run, 200 resamples."""
-    return rounded(metrics.bootstrap_auc(e.prediction, "row_id", ["run_id"]))
+#: Runs with their AUC and the bounds of its interval; draws are numbered and hashed as in metrics.resampled.
+_INTERVALS = f"""q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY row_id) - 1 AS r, count(*) OVER (PARTITION BY run_id) AS n, 1 AS w FROM ({_P})),
+  drawn AS (SELECT q.run_id, rep, ('0x' || substr(md5('42:' || rep || ':' || q.r), 1, 8))::BIGINT % q.n AS r FROM q CROSS JOIN (SELECT unnest(range(200)) AS rep)),
+  resample AS (SELECT d.run_id, d.rep, q.p, q.y, 1 AS w FROM drawn d JOIN q ON q.run_id = d.run_id AND q.r = d.r),
+  bounds AS (SELECT run_id, list_sort(list(auc)) AS v FROM {_auc_of_weights('resample', 'run_id, rep')} WHERE auc IS NOT NULL GROUP BY run_id),
+  intervals AS (SELECT a.run_id, a.auc, v[1 + CAST(floor(len(v) * 0.025) AS INT)] AS lo, v[1 + CAST(floor(len(v) * 0.975) AS INT)] AS hi FROM {_auc_of_weights('q', 'run_id')} a LEFT JOIN bounds b ON b.run_id = a.run_id)"""
+BOOTSTRAP_SQL = f"WITH {_INTERVALS} SELECT run_id, round(auc, 8) AS auc, round(lo, 8) AS auc_lo, round(hi, 8) AS auc_hi FROM intervals"
 
 
 def _leaderboard(m: DataFrame, lo: Column, hi: Column) -> DataFrame:
@@ -148,21 +150,17 @@ def _leaderboard(m: DataFrame, lo: Column, hi: Column) -> DataFrame:
 
 
 def leaderboard(e: Entities) -> DataFrame:
-    """V18 with a made-up interval, as in its SQL: the text is compared, not the bounds."""
-    return _leaderboard(metrics.all_metrics(e.prediction, ["run_id"]), F.col("auc") - 0.05, F.when(F.col("run_id") != 2, F.col("auc") + 0.05))
-
-
-def leaderboard_bootstrap(e: Entities) -> DataFrame:
     """V18 with the interval of M7."""
     bounds = metrics.bootstrap_auc(e.prediction, "row_id", ["run_id"]).select("run_id", "auc_lo", "auc_hi")
     return _leaderboard(metrics.all_metrics(e.prediction, ["run_id"]).join(bounds, "run_id", "left"), F.col("auc_lo"), F.col("auc_hi"))
 
 
-LEADERBOARD_SQL = f"""WITH q AS ({_P}), a AS (SELECT a.run_id, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS auc FROM q a JOIN q b ON a.run_id = b.run_id WHERE a.y AND NOT b.y GROUP BY a.run_id),
-  b AS (SELECT run_id, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y AS INT)) AS my FROM q GROUP BY 1, 2), e AS (SELECT run_id, sum(n * abs(mp - my)) / sum(n) AS ece FROM b GROUP BY run_id),
+LEADERBOARD_SQL = f"""WITH {_INTERVALS},
+  bins AS (SELECT run_id, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(CAST(y AS INT)) AS my FROM q GROUP BY 1, 2), gaps AS (SELECT run_id, sum(n * abs(mp - my)) / sum(n) AS ece FROM bins GROUP BY run_id),
   m AS (SELECT run_id, count(*) AS n_pairs, CAST(sum(CAST(y AS INT)) AS BIGINT) AS n_approved, avg((CAST(y AS INT) - p) * (CAST(y AS INT) - p)) AS brier FROM q GROUP BY run_id)
-  SELECT m.run_id, n_pairs, n_approved, round(100.0 * n_approved / n_pairs, 1) AS baseline_approval_pct, round(auc, 3) AS auc, CASE WHEN m.run_id <> 2 THEN '[' || CAST(CAST(round(auc - 0.05, 3) AS DECIMAL(10, 3)) AS VARCHAR) || ', ' || CAST(CAST(round(auc + 0.05, 3) AS DECIMAL(10, 3)) AS VARCHAR) || ']' END AS auc_ci, round(brier, 3) AS brier, round(ece, 3) AS calib_err
-  FROM m JOIN a ON a.run_id = m.run_id JOIN e ON e.run_id = m.run_id"""
+  SELECT m.run_id, n_pairs, n_approved, round(100.0 * n_approved / n_pairs, 1) AS baseline_approval_pct, round(auc, 3) AS auc,
+    '[' || CAST(CAST(round(lo, 3) AS DECIMAL(10, 3)) AS VARCHAR) || ', ' || CAST(CAST(round(hi, 3) AS DECIMAL(10, 3)) AS VARCHAR) || ']' AS auc_ci, round(brier, 3) AS brier, round(ece, 3) AS calib_err
+  FROM m LEFT JOIN intervals a ON a.run_id = m.run_id LEFT JOIN gaps g ON g.run_id = m.run_id"""
 
 
 def effect_intervals(e: Entities) -> DataFrame:
@@ -170,6 +168,20 @@ def effect_intervals(e: Entities) -> DataFrame:
     return rounded(metrics.odds_ratio_intervals(V.effect_sizes(e), ["cohort", "dimension"]))
 
 
+def _odds_sql(a: str, b: str, c: str, d: str) -> str:
+    add = f"CASE WHEN {a} = 0 OR {b} = 0 OR {c} = 0 OR {d} = 0 THEN 0.5 ELSE 0.0 END"
+    return f"(({a} + {add}) * ({d} + {add}) / (({b} + {add}) * ({c} + {add})))"
+
+
+EFFECT_SQL = f"""WITH cells AS (SELECT cohort, dimension, CAST(high_approved AS DOUBLE) AS a, CAST(high_failed AS DOUBLE) AS b, CAST(low_approved AS DOUBLE) AS c, CAST(low_failed AS DOUBLE) AS d, CAST(high_approved + high_failed + low_approved + low_failed AS BIGINT) AS n FROM v_effect_sizes),
+  draws AS (SELECT cohort, dimension, a, b, c, rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT % n AS x FROM (SELECT *, unnest(range(n)) AS i FROM cells WHERE n >= 20) CROSS JOIN (SELECT unnest(range(500)) AS rep)),
+  counted AS (SELECT cohort, dimension, rep, CAST(count(*) FILTER (WHERE x < a) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE x >= a AND x < a + b) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE x >= a + b AND x < a + b + c) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE x >= a + b + c) AS DOUBLE) AS d FROM draws GROUP BY ALL),
+  bounds AS (SELECT cohort, dimension, list_sort(list({_odds_sql('a', 'b', 'c', 'd')})) AS v FROM counted GROUP BY ALL)
+  SELECT k.cohort, k.dimension, a AS high_approved, b AS high_failed, c AS low_approved, d AS low_failed, n AS n_covered, round(CASE WHEN n >= 20 THEN {_odds_sql('a', 'b', 'c', 'd')} END, 8) AS odds_ratio,
+    round(v[1 + CAST(floor(len(v) * 0.025) AS INT)], 8) AS odds_ratio_lo, round(v[1 + CAST(floor(len(v) * 0.975) AS INT)], 8) AS odds_ratio_hi
+  FROM cells k LEFT JOIN bounds l ON l.cohort = k.cohort AND l.dimension = k.dimension"""
+
+
 def predicted_rank(e: Entities) -> DataFrame:
     """W5 on the predictions of the composite scorer."""
     return rounded(scorers.with_predicted_rank(scorers.score(V.cohort(e), "rs_product_v1")).select("target_id", "indication_id", "p", "predicted_rank"))
@@ -250,6 +262,33 @@ def _feature_sql() -> str:
     return f"SELECT target_id, indication_id, CAST(CAST(coalesce(y, false) AS INT) AS DOUBLE) AS label, {', '.join(columns)} FROM v_strict_cohort"
 
 
+def interaction_table(e: Entities) -> DataFrame:
+    """Features of two on the strict cohort."""
+    rows = ml.interactions(ml.labelled(V.strict_cohort(e)))
+    return rounded(rows.select("target_id", "indication_id", "mendelian_x_tissue_specific", "clingen_x_tractable_sm", "nonessential_x_clingen", "ot_genetic_x_animal", "oncology_x_depmap_deps"))
+
+
+INTERACTION_SQL = """WITH f AS (SELECT target_id, indication_id, ln(1 + greatest(0, coalesce(CAST(mendelian_n AS DOUBLE), 0))) AS mendelian, sc_tau_specificity AS tau, ln(1 + greatest(0, coalesce(CAST(clingen_n_strong AS DOUBLE), 0))) AS clingen,
+    CAST(CAST(tractability_sm AS INT) AS DOUBLE) AS small, CAST(CAST(depmap_pan_essential AS INT) AS DOUBLE) AS essential, ot_genetic_max AS genetic, ot_animal_model_max AS animal, coalesce(therapeutic_area, 'other') = 'oncology' AS oncology, CAST(depmap_n_dep_lineages AS DOUBLE) AS lineages FROM v_strict_cohort)
+  SELECT target_id, indication_id, CASE WHEN mendelian > 4 AND tau > 0.75 THEN 1.0 ELSE 0.0 END::DOUBLE AS mendelian_x_tissue_specific, CASE WHEN clingen > 0 AND small > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS clingen_x_tractable_sm,
+    CASE WHEN clingen > 0 THEN 1 - coalesce(essential, 0) ELSE 0.0 END::DOUBLE AS nonessential_x_clingen, CASE WHEN genetic > 0.3 AND animal > 0.3 THEN 1.0 ELSE 0.0 END::DOUBLE AS ot_genetic_x_animal,
+    round(CASE WHEN oncology THEN ln(1 + coalesce(lineages, 0)) ELSE 0.0 END::DOUBLE, 8) AS oncology_x_depmap_deps FROM f"""
+
+#: Families of the bound tables, in place of the usual ones.
+BOUND_FAMILIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+def family_table(e: Entities) -> DataFrame:
+    """One-hot families and levels, and families beside ClinGen evidence, on the strict cohort."""
+    return ml.family_features(V.strict_cohort(e), ["target_id", "indication_id"], BOUND_FAMILIES)
+
+
+def _family_sql() -> str:
+    one = lambda c, n: f'CASE WHEN {c} THEN 1.0 ELSE 0.0 END::DOUBLE AS "{n}"'
+    columns = [one(f"family = '{f}'", f"fam_{f}") for f in BOUND_FAMILIES] + [one(f"coalesce(tdl, 'Tdark') = '{t}'", f"tdl_{t}") for t in ml.LEVELS] + [one(f"family = '{f}' AND clingen_n_strong >= 1", f"{f}_x_clingen") for f in BOUND_FAMILIES]
+    return f"SELECT target_id, indication_id, {', '.join(columns)} FROM v_strict_cohort"
+
+
 # -- windows ------------------------------------------------------------------
 
 
@@ -287,10 +326,10 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "m3_ranking_tie_neutral": (lambda e: rounded(metrics.ranking(e.prediction, _BY, neutral=True)), None),
     "m6_ece": (lambda e: rounded(metrics.ece(e.prediction, _BY)), ECE_SQL),
     "m7_bootstrap": (bootstrap, BOOTSTRAP_SQL),
-    "m7_bootstrap_all_rows": (bootstrap_all_rows, None),
-    "m8_odds_ratio_intervals": (effect_intervals, None),
+    "m7_bootstrap_all_rows": (bootstrap, BOOTSTRAP_SQL),
+    "m8_odds_ratio_intervals": (effect_intervals, EFFECT_SQL),
     "v18_leaderboard": (leaderboard, LEADERBOARD_SQL),
-    "v18_leaderboard_bootstrap": (leaderboard_bootstrap, None),
+    "v18_leaderboard_bootstrap": (leaderboard, LEADERBOARD_SQL),
     "v19_calibration": (lambda e: rounded(metrics.calibration(e.prediction, _BY)), CALIBRATION_SQL),
     "w5_predicted_rank": (predicted_rank, f"SELECT target_id, indication_id, p, row_number() OVER (ORDER BY q DESC, target_id, indication_id) AS predicted_rank FROM (SELECT target_id, indication_id, round(q, 8) AS p, q FROM (SELECT target_id, indication_id, greatest(0.001, least(0.99, 0.05 * exp({' + '.join(f'CASE WHEN {t.sql()} THEN ln({w}) ELSE 0 END' for t, w in T.RS_FACTORS)}))) AS q FROM v_cohort))"),
     "v24_sponsor_success": (portfolio.sponsor_success, "SELECT sponsor_name AS sponsor, count(DISTINCT drug_id) AS n_drugs, count(DISTINCT drug_id) FILTER (WHERE approved_us) AS n_approved, round(100.0 * CAST(count(DISTINCT drug_id) FILTER (WHERE approved_us) AS DOUBLE) / count(DISTINCT drug_id), 1) AS pct, CAST(1 AS BIGINT) AS n_spellings FROM program p JOIN v_program_outcome po ON po.program_id = p.program_id WHERE sponsor_name IS NOT NULL GROUP BY sponsor_name"),
@@ -303,6 +342,8 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "c_scorer_metrics": (scorer_metrics, None),
     "c1_random": (_scored("random_v1"), None),
     "l1_features": (feature_table, _feature_sql()),
+    "e22_family_one_hot": (family_table, _family_sql()),
+    "e23_interactions": (interaction_table, INTERACTION_SQL),
     "l3_logistic_group_folds": (_oof(ml.logistic(0.5), ml.group_folds), None),
     "l5_forest_stratified": (_oof(ml.forest(), ml.stratified_folds), None),
     "x_hourly_windows": (hourly, HOURLY_SQL),

@@ -24,13 +24,36 @@ NUMERIC = {
 }
 BOOLEAN = {"B_mechanistic": ("tractability_sm", "tractability_ab", "tractability_protac"), "C_cell": ("depmap_pan_essential",), "A_genetics": ("ot_is_mendelian_any",)}
 TIERS, AREAS = ("T0", "T1", "T2", "T3", "T4"), ("oncology", "neuro", "autoimmune", "cv", "metabolic", "rare", "infectious", "other")
-COUNTS = frozenset("gwas_n_sig mendelian_n mendelian_n_dominant mendelian_n_recessive family_approved_count gene_approved_count n_causal_diseases n_suggestive_diseases n_dgidb_drugs n_ppi_partners n_reactome_pathways n_go_biological_process n_go_molecular_function n_go_cellular_component impc_n_phenotypes n_hpo_phenotypes max_tissue_tpm sc_max_cell_value sc_n_cell_types_expressed n_high_tissues clingen_n_strong".split())
-LEAKING = frozenset("n_sponsors n_programs n_drugs max_phase_reached ot_known_drug_max ot_overall_max".split())
+#: Features that are counts, and columns that follow from the outcome.
+COUNTS = (
+    "gwas_n_sig",
+    "mendelian_n",
+    "mendelian_n_dominant",
+    "mendelian_n_recessive",
+    "family_approved_count",
+    "gene_approved_count",
+    "n_causal_diseases",
+    "n_suggestive_diseases",
+    "n_dgidb_drugs",
+    "n_ppi_partners",
+    "n_reactome_pathways",
+    "n_go_biological_process",
+    "n_go_molecular_function",
+    "n_go_cellular_component",
+    "impc_n_phenotypes",
+    "n_hpo_phenotypes",
+    "max_tissue_tpm",
+    "sc_max_cell_value",
+    "sc_n_cell_types_expressed",
+    "n_high_tissues",
+    "clingen_n_strong",
+)
+LEAKING = ("n_sponsors", "n_programs", "n_drugs", "max_phase_reached", "ot_known_drug_max", "ot_overall_max")
 
 
 def feature_names() -> list[str]:
     names = [c for group in NUMERIC.values() for c in group] + [c for group in BOOLEAN.values() for c in group] + [f"nelson_{t}" for t in TIERS] + [f"ta_{a}" for a in AREAS]
-    assert not LEAKING & set(names)
+    assert not set(LEAKING) & set(names)
     return names
 
 
@@ -59,11 +82,35 @@ def features(cohort: DataFrame, keep: Sequence[str], log: bool = True) -> DataFr
     return cohort.select(*keep, *[v.alias(k) for k, v in columns.items()])
 
 
+#: Target families and levels that have a column of their own.
+FAMILIES = ("Enzyme", "Kinase", "GPCR", "Nuclear Receptor", "Ion Channel", "Transporter", "Transcription Factor", "Epigenetic")
+LEVELS = ("Tclin", "Tchem", "Tbio", "Tdark")
+
+
 def interactions(df: DataFrame) -> DataFrame:
-    """Products of log-scaled features and masks; a mask such as mendelian_n > 4 is taken after the log, as it stands."""
-    c = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    pairs = {"mend_x_clingen": c("mendelian_n") * c("clingen_n_strong"), "mend_x_line_e": F.when(c("mendelian_n") > 4, c("line_e_lit")).otherwise(0.0), "genetic_x_animal": c("ot_genetic_max") * c("ot_animal_model_max"), "line_c_x_d": c("line_c_lit") * c("line_d_lit"), "family_x_genetic": F.when(c("family_approved_count") > 0, c("ot_genetic_max")).otherwise(0.0)}
-    return df.withColumns(pairs)
+    """Five features of two, each a mask of 0 or 1 but the last. They are taken from log-scaled features as these stand, so that a bound on a count is one on its logarithm; an unknown value passes no bound, and counts as not essential."""
+    passes = lambda c, bound: F.coalesce(F.col(c) > bound, F.lit(False))
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    mask = lambda c: c.cast("double")
+    return df.withColumns(
+        {
+            "mendelian_x_tissue_specific": mask(passes("mendelian_n", 4) & passes("sc_tau_specificity", 0.75)),
+            "clingen_x_tractable_sm": mask(passes("clingen_n_strong", 0) & passes("tractability_sm", 0.5)),
+            "nonessential_x_clingen": (1 - known("depmap_pan_essential")) * mask(passes("clingen_n_strong", 0)),
+            "ot_genetic_x_animal": mask(passes("ot_genetic_max", 0.3) & passes("ot_animal_model_max", 0.3)),
+            "oncology_x_depmap_deps": known("ta_oncology") * F.log1p(known("depmap_n_dep_lineages")),
+        }
+    )
+
+
+def family_features(cohort: DataFrame, keep: Sequence[str], families: Sequence[str] = FAMILIES) -> DataFrame:
+    """One-hot families (none: other, which has no column) and levels (none: Tdark), and each family beside strong ClinGen evidence."""
+    is_family = lambda f: F.coalesce(F.col("family") == f, F.lit(False))
+    strong = F.coalesce(F.col("clingen_n_strong") >= 1, F.lit(False))
+    columns = {f"fam_{f}": is_family(f) for f in families}
+    columns |= {f"tdl_{t}": F.coalesce("tdl", F.lit("Tdark")) == t for t in LEVELS}
+    columns |= {f"{f}_x_clingen": is_family(f) & strong for f in families}
+    return cohort.select(*keep, *[c.cast("double").alias(n) for n, c in columns.items()])
 
 
 class Imputer:
@@ -223,8 +270,8 @@ def time_split(df: DataFrame, year: int, at: str = "first_trial_date", least: in
     return train, test
 
 
-def per_group(df: DataFrame, group: str, maker: Maker, names: Sequence[str], least: int = 100, positives: int = 5, k: int = 5) -> dict[str, DataFrame]:
-    """Models of one group each, for groups with enough rows and positives."""
+def per_group(df: DataFrame, group: str, maker: Maker, names: Sequence[str], least: int = 100, positives: int = 10, k: int = 5) -> dict[str, DataFrame]:
+    """L13 (and L14, with positives=5): models of one group each, for groups with enough rows of both labels."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()  # a row for each area or modality
     return {r[group]: out_of_fold(stratified_folds(df.where(F.col(group) == r[group]), k), maker, names, k) for r in sizes if r[group] is not None and r["n"] >= least and r["pos"] >= positives and r["n"] - r["pos"] >= positives}
 

@@ -243,9 +243,14 @@ def test_sign_agreement_and_interactions(spark):
     rs = spark.createDataFrame([("a", 200, 1.5), ("b", 200, 0.5), ("c", 200, 2.0), ("d", 50, 2.0)], "dimension string, n_supported long, relative_success double")
     beta = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", -0.5), ("d", 1.0)], "dimension string, beta double")
     assert tuple(ml.sign_agreement(rs, beta).first()) == (3, 66.7)
-    row = spark.createDataFrame([(4.5, 1.0, 2.0, 0.5, 0.25, 3.0, 2.0, 0.0)], "mendelian_n double, clingen_n_strong double, line_e_lit double, ot_genetic_max double, ot_animal_model_max double, line_c_lit double, line_d_lit double, family_approved_count double")
-    got = ml.interactions(row).first()
-    assert (got["mend_x_clingen"], got["mend_x_line_e"], got["genetic_x_animal"], got["line_c_x_d"], got["family_x_genetic"]) == (4.5, 2.0, 0.125, 6.0, 0.0)
+    names = "mendelian_n double, sc_tau_specificity double, clingen_n_strong double, tractability_sm double, depmap_pan_essential double, ot_genetic_max double, ot_animal_model_max double, ta_oncology double, depmap_n_dep_lineages double"
+    rows = [(4.5, 0.8, 1.0, 1.0, 0.0, 0.31, 0.4, 1.0, 3.0), (3.9, 0.8, 0.7, 0.0, 1.0, 0.3, 0.4, 0.0, 3.0), (None,) * 9]
+    got = [tuple(r)[9:] for r in ml.interactions(spark.createDataFrame(rows, names)).collect()]
+    assert got[0] == (1.0, 1.0, 1.0, 1.0, pytest.approx(1.3862943611)) and got[1] == (0.0, 0.0, 0.0, 0.0, 0.0) == got[2]
+    cohort = spark.createDataFrame([(1, "Kinase", "Tclin", 1), (2, None, None, 3), (3, "GPCR", "Tbio", 0)], "id long, family string, tdl string, clingen_n_strong long")
+    got = {r["id"]: r.asDict() for r in ml.family_features(cohort, ["id"]).collect()}
+    assert {k for k, v in got[1].items() if v == 1.0 and k != "id"} == {"fam_Kinase", "tdl_Tclin", "Kinase_x_clingen"}
+    assert {k for k, v in got[2].items() if v == 1.0} == {"tdl_Tdark"} and {k for k, v in got[3].items() if v == 1.0} == {"fam_GPCR", "tdl_Tbio"}
 
 
 def test_leave_one_category_out(spark):
