@@ -174,7 +174,8 @@ def _odds_sql(a: str, b: str, c: str, d: str) -> str:
 
 
 EFFECT_SQL = f"""WITH cells AS (SELECT cohort, dimension, CAST(high_approved AS DOUBLE) AS a, CAST(high_failed AS DOUBLE) AS b, CAST(low_approved AS DOUBLE) AS c, CAST(low_failed AS DOUBLE) AS d, CAST(high_approved + high_failed + low_approved + low_failed AS BIGINT) AS n FROM v_effect_sizes),
-  draws AS (SELECT cohort, dimension, a, b, c, rep, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT % n AS x FROM (SELECT *, unnest(range(n)) AS i FROM cells WHERE n >= 20) CROSS JOIN (SELECT unnest(range(500)) AS rep)),
+  hashes AS (SELECT rep, i, ('0x' || substr(md5('42:' || rep || ':' || i), 1, 8))::BIGINT AS h FROM (SELECT unnest(range((SELECT max(n) FROM cells))) AS i) CROSS JOIN (SELECT unnest(range(500)) AS rep)),
+  draws AS (SELECT cohort, dimension, a, b, c, rep, h % n AS x FROM cells JOIN hashes ON i < n WHERE n >= 20),
   counted AS (SELECT cohort, dimension, rep, CAST(count(*) FILTER (WHERE x < a) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE x >= a AND x < a + b) AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE x >= a + b AND x < a + b + c) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE x >= a + b + c) AS DOUBLE) AS d FROM draws GROUP BY ALL),
   bounds AS (SELECT cohort, dimension, list_sort(list({_odds_sql('a', 'b', 'c', 'd')})) AS v FROM counted GROUP BY ALL)
   SELECT k.cohort, k.dimension, a AS high_approved, b AS high_failed, c AS low_approved, d AS low_failed, n AS n_covered, round(CASE WHEN n >= 20 THEN {_odds_sql('a', 'b', 'c', 'd')} END, 8) AS odds_ratio,
