@@ -12,6 +12,7 @@ their length; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -83,24 +84,37 @@ def search(flat: str, some: tuple[Notice, ...]) -> list[tuple[int, int, str, int
                 if m:
                     found.add((m.start(), m.end(), notice.label, sum(m.fuzzy_counts), notice.edits))
                 at = flat.find(seed, at + 1)
-    # of overlapping spans of one label the one with the fewest edits stays
-    kept: list[tuple[int, int, str, int, int]] = []
+    # of overlapping spans of one label the one with the fewest edits stays; those that stay are apart, so only neighbours can overlap
+    kept: dict[str, list[tuple[int, int, str, int, int]]] = {}
     for span in sorted(found, key=lambda s: (s[3], s[0], s[1])):
-        if not any(span[2] == o[2] and span[0] < o[1] and o[0] < span[1] for o in kept):
-            kept.append(span)
-    return sorted(kept)
+        own = kept.setdefault(span[2], [])
+        i = bisect(own, span)
+        if not (i and own[i - 1][1] > span[0]) and not (i < len(own) and own[i][0] < span[1]):
+            own.insert(i, span)
+    return sorted(x for own in kept.values() for x in own)
+
+
+def word_numbers(flat: bytes, places: list[int]) -> list[int]:
+    """Number of blanks before each of the ascending places, in one pass."""
+    out, last, n = [], 0, 0
+    for at in places:
+        n += flat.count(b" ", last, at)
+        out.append(n)
+        last = at
+    return out
 
 
 def base_places(flat: bytes) -> list[tuple[int, str]]:
     """First word's number and label of every place of a phrase in b' words joined by blanks '."""
-    out = []
+    found = []
     for phrase, label in PHRASES.items():
         key = b" " + phrase.encode() + b" "
         at = flat.find(key)
         while at >= 0:
-            out.append((flat.count(b" ", 0, at), label))
+            found.append((at, label))
             at = flat.find(key, at + 1)
-    return sorted(out)
+    found.sort()
+    return list(zip(word_numbers(flat, [at for at, _ in found]), [label for _, label in found]))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -119,8 +133,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_pe
                 base = base_places(flat)
                 spans = []
                 if any(s in flat for s in seeds):
-                    plain = flat.decode()
-                    spans = [{"first_word": max(0, plain.count(" ", 0, a + 1) - 1), "n_words": len(plain[a:b].split()), "label": label, "edits": e, "k": k} for a, b, label, e, k in search(plain, some)]
+                    found = search(flat.decode("latin-1"), some)  # a byte is a character, so that places stay; notices are ASCII
+                    numbers = word_numbers(flat, [a + 1 for a, *_ in found])
+                    spans = [{"first_word": max(0, i - 1), "n_words": len(flat[a:b].split()), "label": label, "edits": e, "k": k} for i, (a, b, label, e, k) in zip(numbers, found)]
                 labels = sorted({x for _, x in base})
                 every = sorted({*labels, *(s["label"] for s in spans)})
                 score = max([1.0 if base else 0.0, *(1 - s["edits"] / (s.pop("k") + 1) for s in spans)])

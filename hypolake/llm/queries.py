@@ -45,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

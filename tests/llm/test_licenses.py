@@ -59,3 +59,24 @@ def test_pieces_find_every_match_within_the_edits():
                     s.insert(i, "q")
             flat = f" before {''.join(s)} after "
             assert any(label == notice.label for _, _, label, _, _ in licenses.search(flat, (notice,)))
+
+
+def test_long_texts_take_linear_time_and_spans_are_those_of_a_scan_of_the_whole_text():
+    import time
+
+    def run(n):
+        flat = b" " + b" ".join(licenses.words_of("mit license " * n)) + b" "
+        began = time.process_time()
+        assert len(licenses.base_places(flat)) == n and licenses.base_places(flat)[-1] == (2 * n - 2, "mit")
+        return time.process_time() - began
+
+    assert run(80_000) < 1
+    text = " the of released undr the mit licence and water licensed under cc by sa river gnu leser general public license stone "
+    got = licenses.search(text, licenses.notices())
+    want = set()
+    for notice in licenses.notices():
+        for m in notice.pattern.finditer(text):
+            want.add((m.start(), m.end(), notice.label, sum(m.fuzzy_counts)))
+    labels = {"mit", "cc-by-sa", "lgpl"}
+    assert labels <= {g[2] for g in got}
+    assert {g[:4] for g in got if g[2] in labels} <= want
