@@ -39,12 +39,12 @@ def domain_number() -> Column:
     return F.when(F.col("toxic") == 1, 2.0).when(F.col("quality") == 0, 1.0).when(F.col("quality") == 1, 0.0)
 
 
-def featured(df: DataFrame, text_col: str) -> DataFrame:
+def featured(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / chars
     words = F.filter(F.split(F.lower(text), f"{SPACE_CLASS}+"), lambda w: w != "")
-    return df.select("id", words.alias("words"), F.size(words).alias("tokens"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("double").alias("n_symbols"), share("[^A-Z]+").alias("capitals"), share("[^!]+").alias("marks")).withColumn("symbols", F.col("n_symbols") / F.greatest(F.col("tokens"), F.lit(1)))
+    return df.select("id", *keep, words.alias("words"), F.size(words).alias("tokens"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("double").alias("n_symbols"), share("[^A-Z]+").alias("capitals"), share("[^!]+").alias("marks")).withColumn("symbols", F.col("n_symbols") / F.greatest(F.col("tokens"), F.lit(1)))
 
 
 def classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> PipelineModel | None:
@@ -52,7 +52,7 @@ def classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max
     known = labels.select(F.col(id_col).alias("id"), domain_number().alias("label")).dropna()
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_labelled))  # bounded by the limit
     rows = df.select(F.col(id_col).alias("id"), text_col).join(known, "id")
-    rows = cut(featured(rows.select("id", text_col), text_col).join(known, "id"))
+    rows = cut(featured(rows, text_col, "label"))
     if rows.select("label").distinct().count() < 2:
         return None
     hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=HASHED, binary=True)
