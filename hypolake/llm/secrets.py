@@ -33,8 +33,9 @@ TEST_PATH = r"(?i)(test|spec|example|sample|mock|fixture|docs?/|readme)"
 
 #: A private key with its body; the possessive groups do not recurse, however long a text is.
 KEY_BLOCK = r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*+(?<=PRIVATE KEY)-----"
-#: A named value, a known form, or a long run of letters and digits that holds both.
-CANDIDATE = rf"(?i:\b(?:{NAMES})\b[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"']?[^\s\"'<>,;]{{8,}})|{'|'.join(FORMS)}|\b(?=[A-Za-z+/_=-]{{0,40}}[0-9])(?=[0-9+/_=-]{{0,40}}[A-Za-z])[A-Za-z0-9+/_=-]{{24,}}"
+#: A named value, a known form, or a long run of letters and digits that holds both: anywhere in a run if both come early, else from the run's start, so that a run is looked through once.
+RUN = "[A-Za-z0-9+/_=-]"
+CANDIDATE = rf"(?i:\b(?:{NAMES})\b[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"']?[^\s\"'<>,;]{{8,}})|{'|'.join(FORMS)}|\b(?=[A-Za-z+/_=-]{{0,40}}[0-9])(?=[0-9+/_=-]{{0,40}}[A-Za-z]){RUN}{{24,}}|(?<!{RUN})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){RUN}{{24,}}"
 MARK = "\u0001"
 FEATURES = ("length", "runs", "digits", "capitals", "symbols", "variety", "hexadecimal", "covered", "named", "known_form", "benign_words", "test_path", "quoted")
 

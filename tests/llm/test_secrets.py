@@ -84,3 +84,15 @@ def test_a_private_key_is_one_finding_with_its_body(spark, model):
 def test_hashes_uuids_and_commits_are_no_secrets(spark, model):
     rows = [(1, f"commit {key(61)}"), (2, f"sha1 {key(62)} of the file"), (3, "id 123e4567-e89b-42d3-a456-426614174000"), (4, f"checksum: {key(63, 64)}"), (5, f"digest {key(64, 64)}"), (6, "module some-package-name-with-version-12 end")]
     assert not secrets.scan(documents(spark, rows), model).where("is_secret").collect()
+
+
+def test_long_runs_whose_digits_come_late(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    value = "q" * 45 + "12345678901234567890"
+    df = documents(spark, [(1, f"see {value} end"), (2, "a-" * 40_000)])
+    began = time.time()
+    got = [r["match"] for r in secrets.candidates(df, "doc_id", "text", "source").select("match").collect()]
+    assert got == [value] and time.time() - began < 60
