@@ -7,9 +7,9 @@ can be: a merge (u, v) lets the zone grow by len(u) when v may lead it. Tokens
 that end further than that from the end of what has been read are final and are
 emitted; only the undecided rest stays in memory.
 
-Texts are cut into pre-tokens first. One that fits into the window is encoded at
-once (its end is known, so all its tokens are final; results are kept in a cache
-of bounded size); a longer one streams through the transducer in pieces.
+Texts are cut into pre-tokens first; the bytes of every pre-token go through the
+transducer, and its end is a flush point. What the transducer gave for a short
+pre-token is kept in a memo bounded by bytes, so that a frequent one passes once.
 
 Defined cases: a null text counts as empty (no ids); the special token's string
 in a text becomes its id; repeated rows are encoded each for itself; an empty
@@ -34,8 +34,8 @@ from hypolake.llm.common import small_batches
 #: Fixed value: the pattern that splits text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Characters of a text looked at together, entries of the cache, and bytes from which a pre-token streams.
-SLICE, CACHE_ENTRIES, LONG = 1 << 16, 600_000, 256
+#: Characters of a text looked at together, characters of a pre-token fed at once, bytes that the transducer decides at a time, and characters of a pre-token and bytes of all that the memo takes.
+SLICE, PIECE, STEP, MEMO_WORD, MEMO_BYTES = 1 << 16, 1024, 128, 64, 100 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -122,7 +122,7 @@ def merge(ids: list[int], ranks: dict) -> list[int]:
 class Transducer:
     """Tokens of a byte stream, emitted once no later byte can change them."""
 
-    def __init__(self, vocab: Vocabulary, step: int = 4096):
+    def __init__(self, vocab: Vocabulary, step: int = STEP):
         self.vocab, self.step, self.rest = vocab, step, b""
 
     def feed(self, data: bytes) -> Iterator[int]:
@@ -158,21 +158,21 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-class _Cache(dict):
-    """Ids of pre-tokens, as packed bytes; emptied when full."""
+class _Memo(dict):
+    """What the transducer gave for pre-tokens, as packed bytes; emptied when full."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.size = vocab, 0
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        if len(data) > LONG:
-            return b"".join(stream(self.vocab, word, 0, len(word)))
-        out = pack(merge([self.vocab.byte_id[b] for b in data], self.vocab.ranks))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = out
+        out = b"".join(stream(self.vocab, word, 0, len(word)))
+        if len(word) <= MEMO_WORD:
+            if self.size >= MEMO_BYTES:
+                self.clear()
+                self.size = 0
+            self.size += 160 + 4 * len(word) + len(out)  # with the objects' own bytes
+            self[word] = out
         return out
 
 
@@ -181,36 +181,36 @@ def pack(ids: list[int]) -> bytes:
 
 
 def stream(vocab: Vocabulary, text: str, start: int, end: int) -> Iterator[bytes]:
-    """Packed ids of one long pre-token, piece by piece."""
+    """Packed ids of one pre-token, piece by piece."""
     t = Transducer(vocab)
-    for at in range(start, end, 1024):
-        yield pack(list(t.feed(text[at : min(at + 1024, end)].encode())))
+    for at in range(start, end, PIECE):
+        yield pack(list(t.feed(text[at : min(at + PIECE, end)].encode())))
     yield pack(list(t.finish()))
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[Vocabulary, _Cache, regex.Pattern]:
+def _loaded(path: str) -> tuple[Vocabulary, _Memo, regex.Pattern]:
     vocab = Vocabulary(path)
-    return vocab, _Cache(vocab), regex.compile(PATTERN)
+    return vocab, _Memo(vocab), regex.compile(PATTERN)
 
 
 def encode_stream(path: str, text: str | None) -> Iterator[bytes]:
     """Little-endian 32-bit ids of a whole text, in pieces of bounded size."""
-    vocab, cache, pattern = _loaded(path)
+    vocab, memo, pattern = _loaded(path)
     text, at = text or "", 0
     special = list(vocab.special)
     while at < len(text):
         stops = [(i, s) for s in special if (i := text.find(s, at)) >= 0]
         stop, mark = min(stops, default=(len(text), None))
-        yield from _segment(vocab, cache, pattern, text, at, stop)
+        yield from _segment(vocab, memo, pattern, text, at, stop)
         if mark is None:
             break
         yield vocab.special[mark].to_bytes(4, "little")
         at = stop + len(mark)
 
 
-def _segment(vocab, cache, pattern, text: str, at: int, stop: int) -> Iterator[bytes]:
-    get = cache.__getitem__
+def _segment(vocab, memo, pattern, text: str, at: int, stop: int) -> Iterator[bytes]:
+    get = memo.__getitem__
     while at < stop:
         end = min(at + SLICE, stop)
         if end < stop:
@@ -224,7 +224,7 @@ def _segment(vocab, cache, pattern, text: str, at: int, stop: int) -> Iterator[b
             continue
         limit = at + SLICE
         for m in pattern.finditer(text, at, stop):
-            if m.end() - m.start() > LONG:
+            if m.end() - m.start() > MEMO_WORD:
                 yield from stream(vocab, text, m.start(), m.end())
             else:
                 yield get(m.group())
