@@ -28,7 +28,9 @@ def test_stages(spark, data):
     assert clean.where("n_chars != length(text)").count() == 0
     mixed = P.STAGES[3][1](spark, clean, data).persist()
     assert all(x.columns == names for x in (step, dedup, clean, mixed))
-    got = sorted(tuple(r) for r in P.STAGES[4][1](spark, mixed, data).collect())
+    last = P.STAGES[4][1](spark, mixed, data).collect()
+    assert all(r["n_tokens"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(bpe.pack(r["ids"])).hexdigest() for r in last)
+    got = sorted(tuple(r)[:4] for r in last)
     want = []
     for r in mixed.collect():
         ids = bpe.encode(vocabulary_path(), r["text"])
@@ -53,3 +55,21 @@ def test_sql_of_the_operators(spark, data):
         cur = c.execute(entry.oracle_sql()[name])
         names = [d[0] for d in cur.description]
         assert sorted(map(repr, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(repr, cur.fetchall())), name
+
+
+def test_hard_rows_pass_all_stages(spark, data):
+    import random
+
+    from helpers import documents, hard_rows
+
+    for rows in (hard_rows(random.Random(40)), []):
+        docs = documents(spark, rows)
+        names = docs.columns
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, data)
+            if name != P.STAGES[-1][0]:
+                assert docs.columns == names
+                docs = docs.persist()
+        out = docs.collect()
+        assert (len(out) > 0) == bool(rows)
+        assert {r["doc_id"] for r in out} <= {i for i, _ in rows}
