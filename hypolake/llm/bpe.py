@@ -35,7 +35,7 @@ from hypolake.llm.common import small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters of a text looked at together, characters of a pre-token fed at once, bytes that the transducer decides at a time, and characters of a pre-token and bytes of all that the memo takes.
-SLICE, PIECE, STEP, MEMO_WORD, MEMO_BYTES = 1 << 16, 1024, 128, 64, 100 << 20
+SLICE, PIECE, STEP, MEMO_WORD, MEMO_BYTES = 1 << 16, 1024, 128, 64, 40 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -256,16 +256,19 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
                     n += len(ids)
                     text_sha.update(decoder.feed(ids).encode())
                     if with_ids:
-                        own += ids
+                        own.append(piece)
                 text_sha.update(decoder.finish().encode())
                 ns.append(n)
                 id_digests.append(ids_sha.hexdigest())
                 text_digests.append(text_sha.hexdigest())
-                kept.append(own)
+                kept.append(b"".join(own))
             cols = [batch.column(0), pa.array(ns, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                # bytes of ids go to Arrow as they are, without an object for each id
+                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in kept])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(kept), "<i4")))
+                cols, names = [*cols, lists], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
