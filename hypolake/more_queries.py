@@ -197,7 +197,7 @@ def _scored(name: str) -> Plan:
 
 def _score_sql(p: str, good: str, bad: str, sure: str, used: str) -> str:
     tier = "CASE WHEN p >= 0.35 THEN 'high' WHEN p >= 0.18 THEN 'medium' ELSE 'low' END"
-    return f"SELECT target_id, indication_id, round(CAST(p AS DOUBLE), 8) AS p, {tier} AS predicted_tier, good, bad, CASE WHEN sure IN ('high', 'low') THEN sure WHEN n >= 15 THEN 'high' WHEN n >= 8 THEN 'medium' ELSE 'low' END AS score_confidence, CAST(n AS INT) AS n_features_used FROM (SELECT target_id, indication_id, {p} AS p, {good} AS good, {bad} AS bad, {sure} AS sure, {used} AS n FROM v_cohort)"
+    return f"SELECT target_id, indication_id, round(CAST(p AS DOUBLE), 8) AS p, {tier} AS predicted_tier, good, bad, CASE WHEN sure IN ('high', 'medium', 'low') THEN sure WHEN n >= 15 THEN 'high' WHEN n >= 8 THEN 'medium' ELSE 'low' END AS score_confidence, CAST(n AS INT) AS n_features_used FROM (SELECT target_id, indication_id, {p} AS p, {good} AS good, {bad} AS bad, {sure} AS sure, {used} AS n FROM v_cohort)"
 
 
 def _some(tests, sign: int) -> str:
@@ -208,6 +208,7 @@ def _some(tests, sign: int) -> str:
 _USED = lambda tests: " + ".join(f"CAST({t.column} IS NOT NULL AS INT)" for t, _ in tests)
 _HAS = "coalesce(nelson_tier, '') <> ''"
 SCORER_SQL = {
+    "my_external_scorer_v1": _score_sql("CASE WHEN depmap_pan_essential THEN 0.05 WHEN coalesce(mendelian_n, 0) <> 0 THEN 0.35 ELSE 0.25 END", "''", "''", "'medium'", "5"),
     "family_precedent_v1": _score_sql(
         "least(0.85, greatest(0.05, 0.10 + least(0.5, ln(1 + greatest(0, coalesce(family_approved_count, 0))) * 0.075) + least(0.2, ln(1 + greatest(0, coalesce(gene_approved_count, 0))) * 0.05)))",
         "concat_ws(';', CASE WHEN family_approved_count >= 2 THEN 'family_approved_count=' || CAST(CAST(family_approved_count AS BIGINT) AS VARCHAR) END, CASE WHEN gene_approved_count >= 1 THEN 'gene_approved_count=' || CAST(CAST(gene_approved_count AS BIGINT) AS VARCHAR) END)",

@@ -144,6 +144,13 @@ def with_predicted_rank(predictions: DataFrame) -> DataFrame:
     return with_rank(predictions, [F.desc("p"), F.asc("target_id"), F.asc("indication_id")], "predicted_rank")
 
 
+@register("my_external_scorer_v1")
+def example_external() -> Column:
+    """The example of a scorer from outside. Any Mendelian association adds to its chance: the reference means five or more, but its test binds as `n or (0 >= 5)`, which is kept."""
+    p = F.when(F.col("depmap_pan_essential"), 0.05).when(F.coalesce(F.col("mendelian_n"), F.lit(0)) != 0, 0.35).otherwise(0.25)
+    return result(p, texts(), texts(), F.lit("medium"), F.lit(5))
+
+
 def score_batches(cohort: DataFrame, f: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """A scorer of one's own over batches of rows (pandas)."""
     return cohort.mapInPandas(f, schema)
