@@ -9,9 +9,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.operators.lineage import cut
+from hypolake.operators.relational import with_rank
+
 #: The features by category; what follows from the outcome (numbers of programs, drugs and sponsors, phase, known-drug and overall scores) is left out.
 NUMERIC = {
     "A_genetics": ("mendelian_n", "mendelian_n_dominant", "mendelian_n_recessive", "clingen_n_strong", "gwas_n_sig", "ot_genetic_max", "ot_somatic_score_max", "ot_rna_expression_max", "ot_l2g_score_max"),
@@ -218,9 +221,9 @@ def calibrated(base: Maker, folds: int = 3) -> Maker:
 
 
 def stratified_folds(df: DataFrame, k: int = 5, keys: Sequence[str] = ("target_id", "indication_id"), seed: int = 42, name: str = "fold") -> DataFrame:
-    """Folds of equal shares of each class, by a hash of the keys."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
-    return df.withColumn(name, (F.row_number().over(w) - 1) % k)
+    """Folds of equal shares of each class, by a hash of the keys. The rows of a class have ranks one after another, so that turns by rank deal them evenly; ranks are numbered range by range. The folds are written once, as every model reads them many times."""
+    ranked = with_rank(df, [F.col("label"), F.xxhash64(F.lit(seed), *keys), *map(F.col, keys)], "_turn")
+    return cut(ranked.withColumn(name, ((F.col("_turn") - 1) % k).cast("int")).drop("_turn"))
 
 
 def group_folds(df: DataFrame, group: str = "target_id", k: int = 5, name: str = "fold") -> DataFrame:

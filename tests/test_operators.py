@@ -162,6 +162,8 @@ def test_folds(spark):
     df = spark.range(500).select((F.col("id") % 37).alias("target_id"), F.col("id").alias("indication_id"), (F.col("id") % 5 == 0).cast("double").alias("label"))
     by = ml.stratified_folds(df, 5).groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()
     assert {(r["n"], r["p"]) for r in by} == {(100, 20.0)}
+    unlabelled = df.withColumn("label", F.when(F.col("indication_id") != 7, F.col("label")))
+    assert ml.stratified_folds(unlabelled, 5).count() == 500 and ml.stratified_folds(df.limit(0), 5).count() == 0
     groups = ml.group_folds(df, "target_id", 5)
     assert groups.groupBy("target_id").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0 and groups.count() == 500
 
@@ -274,3 +276,10 @@ def test_precedent_as_of(spark):
     known = spark.createDataFrame([(1, 2019, 3, 1), (1, 2020, 4, 2)], "target_id long, year int, family_approved_before_year long, gene_approved_before_year long")
     got = {r["indication_id"]: (r["year"], r["family_approved_before_year"], r["gene_approved_before_year"]) for r in with_precedent(pairs, known).collect()}
     assert got == {1: (2019, 3, 1), 2: (2020, 4, 2), 3: (2001, 0, 0)}
+
+
+def test_example_external_scorer(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 0, False), (3, 1, False), (4, 9, True)], "target_id long, mendelian_n long, depmap_pan_essential boolean")
+    f, _ = scorers.SCORERS["my_external_scorer_v1"]
+    got = {r["target_id"]: (r["p"], r["t"]) for r in df.select("target_id", f()["predicted_p_approval"].alias("p"), f()["predicted_tier"].alias("t")).collect()}
+    assert got == {1: (0.25, "medium"), 2: (0.25, "medium"), 3: (0.35, "high"), 4: (0.05, "low")}
