@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hypolake.llm import bpe, chat, language, licenses, mixing, periodic, quality, secrets, simhash, substrings, topk, toxicity
+from hypolake.llm import bpe, chat, language, licenses, mixing, periodic, quality, secrets, simhash, substrings, topk, toxicity, whitening
 from hypolake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(masked).cast("long").alias("loss_chars"), F.sha2(masked, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.component_rows(vectors, whitening.fit(vectors))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -80,7 +85,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_secret_scan, op2_quality_rules, op3_mixing, op4_simhash_near_dedup, op5_bpe_encode_decode, op6_toxicity, op7_license_scan, op8_exact_top_k, op9_substring_dedup, op10_chat_formatting, op12_language_id, op13_periodic_runs)
+    every = (op1_secret_scan, op2_quality_rules, op3_mixing, op4_simhash_near_dedup, op5_bpe_encode_decode, op6_toxicity, op7_license_scan, op8_exact_top_k, op9_substring_dedup, op10_chat_formatting, op11_embedding_whitening, op12_language_id, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
