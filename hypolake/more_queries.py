@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from hypolake.functions import text as X
 from hypolake.operators.relational import first_per_key
 from hypolake.plans import evidence_tests as T
-from hypolake.plans import etl, metrics, ml, portfolio, scorers
+from hypolake.plans import boosting, etl, metrics, ml, portfolio, scorers
 from hypolake.plans import views as V
 from hypolake.plans.binding import Entities
 from hypolake.sources.sinks import inserted_new, upserted
@@ -250,6 +251,22 @@ def _oof(maker, fold) -> Plan:
     return plan
 
 
+def _boosted_metrics(scored: DataFrame) -> DataFrame:
+    return metrics.all_metrics(scored.select(F.lit("model").alias("model"), "p", (F.col("label") == 1).alias("y")).persist(), ["model"])
+
+
+def boosted_monotone(e: Entities) -> DataFrame:
+    """L6, robust: out-of-fold metrics of boosting with monotone constraints over the strict cohort."""
+    rows = ml.stratified_folds(ml.labelled(V.strict_cohort(e, 1)))
+    return _boosted_metrics(boosting.out_of_fold(rows, ml.feature_names()))
+
+
+def boosted_isotonic(e: Entities) -> DataFrame:
+    """L6, isotonic: the same setting without constraints, calibrated on three inner folds."""
+    rows = ml.stratified_folds(ml.stratified_folds(ml.labelled(V.strict_cohort(e, 1))), 3, seed=43, name="inner")
+    return _boosted_metrics(boosting.calibrated_out_of_fold(rows, ml.feature_names(), settings=replace(boosting.ROBUST, signs={})))
+
+
 def feature_table(e: Entities) -> DataFrame:
     """The features of the strict cohort."""
     return rounded(ml.labelled(V.strict_cohort(e)))
@@ -348,6 +365,8 @@ QUERIES: dict[str, tuple[Plan, str | None]] = {
     "e23_interactions": (interaction_table, INTERACTION_SQL),
     "l3_logistic_group_folds": (_oof(ml.logistic(0.5), ml.group_folds), None),
     "l5_forest_stratified": (_oof(ml.forest(), ml.stratified_folds), None),
+    "l6_boosted_monotone": (boosted_monotone, None),
+    "l6_boosted_isotonic": (boosted_isotonic, None),
     "x_hourly_windows": (hourly, HOURLY_SQL),
     "x_sessions": (user_sessions, SESSIONS_SQL),
 } | {f"c_{name}": (_scored(name), text) for name, text in SCORER_SQL.items()}
