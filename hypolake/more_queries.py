@@ -231,12 +231,12 @@ SCORER_SQL = {
 
 def scorer_metrics(e: Entities) -> DataFrame:
     """M1 to M6 of all registered scorers over one cohort."""
-    cohort = V.cohort(e).persist()  # a row for each pair; every scorer reads it
+    cohort = e.keep(V.cohort(e))  # a row for each pair; every scorer reads it
     out = None
     for name in scorers.SCORERS:
         part = scorers.score(cohort, name).select("scorer", "p", "y")
         out = part if out is None else out.unionByName(part)
-    return metrics.all_metrics(out.persist(), ["scorer"])
+    return metrics.all_metrics(e.keep(out), ["scorer"])
 
 
 # -- models -------------------------------------------------------------------
@@ -244,27 +244,27 @@ def scorer_metrics(e: Entities) -> DataFrame:
 
 def _oof(maker, fold) -> Plan:
     def plan(e: Entities) -> DataFrame:
-        rows = fold(ml.labelled(V.strict_cohort(e, 1)).persist()).persist()  # a row for each pair; every fit reads it
-        scored = ml.out_of_fold(rows, maker, ml.feature_names()).select("label", "p").persist()
+        rows = e.keep(fold(e.keep(ml.labelled(V.strict_cohort(e, 1)))))  # a row for each pair; every fit reads it
+        scored = e.keep(ml.out_of_fold(rows, maker, ml.feature_names()).select("label", "p"))
         return metrics.all_metrics(scored.select(F.lit("model").alias("model"), "p", (F.col("label") == 1).alias("y")), ["model"])
 
     return plan
 
 
-def _boosted_metrics(scored: DataFrame) -> DataFrame:
-    return metrics.all_metrics(scored.select(F.lit("model").alias("model"), "p", (F.col("label") == 1).alias("y")).persist(), ["model"])
+def _boosted_metrics(e: Entities, scored: DataFrame) -> DataFrame:
+    return metrics.all_metrics(e.keep(scored.select(F.lit("model").alias("model"), "p", (F.col("label") == 1).alias("y"))), ["model"])
 
 
 def boosted_monotone(e: Entities) -> DataFrame:
     """L6, robust: out-of-fold metrics of boosting with monotone constraints over the strict cohort."""
     rows = ml.stratified_folds(ml.labelled(V.strict_cohort(e, 1)))
-    return _boosted_metrics(boosting.out_of_fold(rows, ml.feature_names()))
+    return _boosted_metrics(e, boosting.out_of_fold(rows, ml.feature_names()))
 
 
 def boosted_isotonic(e: Entities) -> DataFrame:
     """L6, isotonic: the same setting without constraints, calibrated on three inner folds."""
     rows = ml.stratified_folds(ml.stratified_folds(ml.labelled(V.strict_cohort(e, 1))), 3, seed=43, name="inner")
-    return _boosted_metrics(boosting.calibrated_out_of_fold(rows, ml.feature_names(), settings=replace(boosting.ROBUST, signs={})))
+    return _boosted_metrics(e, boosting.calibrated_out_of_fold(rows, ml.feature_names(), settings=replace(boosting.ROBUST, signs={})))
 
 
 def feature_table(e: Entities) -> DataFrame:

@@ -8,6 +8,11 @@ needed ones in front of a query; ``Entities`` gives them as DataFrames.
 from __future__ import annotations
 
 import re
+import uuid
+import weakref
+from collections import Counter
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -196,17 +201,93 @@ def with_clause(body: str, bindings: dict[str, str] = BINDINGS) -> str:
     return f"WITH {ctes},\n{body[own.end():]}" if own else f"WITH {ctes}\n{body}"
 
 
+def _depends_on(sql: str) -> list[str]:
+    named = set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", re.sub(r"'[^']*'", "''", sql)))
+    return [n for n in (*TABLES, *BINDINGS) if n in named]
+
+
 class Entities:
-    """The entities over the tables of a folder, as DataFrames by name."""
+    """The entities over the tables of a folder, as DataFrames by name, and what a run shares.
+
+    Entities and shared views are made once and counted at each mention. ``share``, called when the plans of a run
+    are made and before their results are asked for, keeps those with several mentions in memory and on disk,
+    so that the whole run computes them once; ``release``, or the end of a ``with``, gives them up. Instances do
+    not see each other's tables.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self._made = spark, {}
-        for name in TABLES:
-            table(spark, folder, name).createOrReplaceTempView(name)
+        self.spark, self._folder, self._id = spark, folder, uuid.uuid4().hex
+        self._made: dict[tuple, DataFrame] = {}
+        self._mentions: Counter[tuple] = Counter()
+        self._kept: list[DataFrame] = []
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in {**BINDINGS, **dict.fromkeys(TABLES)}:
+        if name.startswith("_") or name not in (*BINDINGS, *TABLES):
             raise AttributeError(name)
-        if name not in self._made:
-            self._made[name] = self.spark.sql(with_clause(f"SELECT * FROM {name}"))
-        return self._made[name]
+        return self.mention((name,), lambda: table(self.spark, self._folder, name) if name in TABLES else self._bound(name))
+
+    def mention(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, made once for each key; dependences are made, and so kept, before it."""
+        if key not in self._made:
+            made = make()
+            self._made[key] = made
+        self._mentions[key] += 1
+        return self._made[key]
+
+    def _bound(self, name: str) -> DataFrame:
+        """The entity's SELECT over frames of its own dependences, each under a name of this instance."""
+        sql, views = BINDINGS[name], []
+        for n in _depends_on(sql):
+            view = f"{n}_{self._id}"
+            getattr(self, n).createOrReplaceTempView(view)
+            sql = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {view} AS {n}", sql)
+            views.append(view)
+        try:
+            return self.spark.sql(sql)
+        finally:
+            for view in views:
+                self.spark.catalog.dropTempView(view)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, kept until release."""
+        self._kept.append(df.persist())
+        return df
+
+    def share(self) -> Entities:
+        """Keeps what is mentioned more than once, but for the tables themselves, in order of dependence."""
+        for key, df in self._made.items():
+            if self._mentions[key] > 1 and key[0] not in TABLES and all(df is not k for k in self._kept):
+                self.keep(df)
+        return self
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Entities:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def shared(view: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A view that a run makes once for the same arguments."""
+
+    @wraps(view)
+    def once(e: Entities, *args) -> DataFrame:
+        mention = getattr(e, "mention", None)  # other holders of frames share nothing
+        return mention((view.__name__, *args), lambda: view(e, *args)) if mention else view(e, *args)
+
+    return once
+
+
+def run(plan: Callable[[Entities], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
+    """The plan's result over a folder. What it keeps on the way is released when the result is let go of.
+
+    Entities are not shared here: within one query, scans that are pruned to what each mention needs cost less than a kept copy of all columns.
+    """
+    e = Entities(spark, folder)
+    out = plan(e).select("*")  # a frame of its own, so that the entities do not hold it
+    weakref.finalize(out, e.release).atexit = False
+    return out

@@ -14,7 +14,7 @@ from hypolake.plans.binding import Entities
 
 def sponsor_success(e: Entities, aliases: Aliases = ALIASES) -> DataFrame:
     """Distinct drugs and approved drugs of each canonical sponsor, and the spellings seen."""
-    rows = e.program.where("sponsor_name is not null").join(V.program_outcome(e).select("program_id", "approved_us"), "program_id").withColumn("sponsor", canonical_sponsor(F.col("sponsor_name"), aliases))
+    rows = V.programs_with_outcome(e).where("sponsor_name is not null").withColumn("sponsor", canonical_sponsor(F.col("sponsor_name"), aliases))
     drugs, approved = F.countDistinct("drug_id"), F.countDistinct(F.when(F.col("approved_us"), F.col("drug_id")))
     return rows.groupBy("sponsor").agg(drugs.alias("n_drugs"), approved.alias("n_approved"), percent(approved, drugs).alias("pct"), F.countDistinct("sponsor_name").alias("n_spellings"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hypolake.functions.text import modality_group
-from hypolake.operators.relational import count_if, distinct_joined, explode_tests, first_per_key, percent, pivot_max, ratio, with_exclusive_sum
+from hypolake.operators.relational import count_if, distinct_joined_of, explode_tests, first_per_key, percent, pivot_max, ratio, with_exclusive_sum
 from hypolake.plans import evidence_tests as T
-from hypolake.plans.binding import TARGET_DIMENSIONS, DRUG_DIMENSIONS, Entities
+from hypolake.plans.binding import DRUG_DIMENSIONS, TARGET_DIMENSIONS, Entities, shared
 
 #: Sources of drug-target links, best first; unlisted ones come last.
 SOURCE_PRIORITY = {"fda_approval": 1, "llm_sonnet_verified": 2, "therapy_targets_public": 3, "chembl_bulk": 4, "llm_sonnet": 5, "llm_haiku": 6}
@@ -23,6 +23,7 @@ def ranked(column: Column, ranks: dict[str, int], other: int) -> Column:
     return out
 
 
+@shared
 def drug_target(e: Entities) -> DataFrame:
     """V1: the best target of each drug and role; ties within a source go to the smaller target."""
     t = e.targets.select("target_id", F.col("symbol").alias("target_symbol"), F.col("family").alias("target_family"), F.col("tdl").alias("target_tdl"))
@@ -30,18 +31,38 @@ def drug_target(e: Entities) -> DataFrame:
     return first_per_key(joined, ["drug_id", "role"], [ranked(F.col("source"), SOURCE_PRIORITY, 99), F.col("target_id")])
 
 
+@shared
 def primary_target(e: Entities) -> DataFrame:
     return drug_target(e).where("role = 'primary'")
 
 
+@shared
 def best_stop_reason(e: Entities) -> DataFrame:
     """One classification of why a trial stopped, the larger model's first."""
     found = e.classification.where("classifier_task = 'why_stopped'")
     return first_per_key(found.where("subject_type = 'trial'"), ["subject_key"], [F.when(F.col("classifier_model") == "claude-sonnet", 1).otherwise(2), F.col("category")])
 
 
+#: What outcomes are called, by the strict and by the broad reading.
+OUTCOMES = (
+    *("approved", "efficacy_fail", "safety_fail", "commercial_fail", "enrollment_fail", "planned_termination", "other_fail"),
+    *("in_development", "phase_complete_no_approval", "phase1_complete_no_advance", "unknown"),
+)
+BROAD_OUTCOMES = (
+    *("approved", "efficacy_fail", "safety_fail", "commercial_fail", "enrollment_fail", "planned_termination", "unclassified_termination"),
+    *("in_dev", "presumptive_efficacy_fail_ph3", "presumptive_fail_ph2", "phase1_only", "unknown"),
+)
+OUTCOME = ("outcome", "outcome_broad", "outcome_confidence", "approved_us", "approved_ex_us", "first_approval_id", "failure_reasons")
+
+
 def program_outcome(e: Entities) -> DataFrame:
     """V2: outcomes of programs from approvals of the drug, reasons of stopped trials, and progress."""
+    return programs_with_outcome(e).select("program_id", *OUTCOME)
+
+
+@shared
+def programs_with_outcome(e: Entities) -> DataFrame:
+    """Programs with all their columns and those of V2, for views that need both: programs are made and shuffled once, not joined with themselves."""
     reasons = {"efficacy": "efficacy", "safety": "safety", "commercial": "commercial_strategic", "enrollment": "enrollment_operational", "planned": "planned_termination"}
     c = F.col("category")
     one = lambda p: F.sum(F.when(p, 1).otherwise(0))
@@ -63,7 +84,7 @@ def program_outcome(e: Entities) -> DataFrame:
 
     confidence = F.when(approved, "high").when((F.col("efficacy") > 0) | (F.col("safety") > 0), "high").when((F.col("commercial") > 0) | (F.col("enrollment") > 0), "medium").when(done & (phase >= 3), "medium").otherwise("low")
     return p.select(
-        "program_id",
+        *e.program.columns,
         ladder("other_fail", "in_development", (done & (phase >= 2), "phase_complete_no_approval"), (done & (phase == 1), "phase1_complete_no_advance")).alias("outcome"),
         ladder("unclassified_termination", "in_dev", (done & (phase >= 3), "presumptive_efficacy_fail_ph3"), (done & (phase == 2), "presumptive_fail_ph2"), (done & (phase == 1), "phase1_only")).alias("outcome_broad"),
         confidence.alias("outcome_confidence"),
@@ -74,29 +95,35 @@ def program_outcome(e: Entities) -> DataFrame:
     )
 
 
+@shared
 def _clingen(e: Entities) -> DataFrame:
     return e.clingen_validity.groupBy("target_id").agg(count_if(F.col("classification").isin("Definitive", "Strong")).alias("clingen_n_strong"), F.count("*").alias("clingen_n_all"))
 
 
+@shared
 def _mendelian(e: Entities) -> DataFrame:
     return e.mendelian_associations.groupBy("target_id").agg(F.count("*").alias("mendelian_n"))
 
 
+@shared
 def _gwas(e: Entities) -> DataFrame:
     return e.gwas_associations.groupBy("target_id").agg(count_if(F.col("p_value") < 5e-8).alias("gwas_n_sig"))
 
 
+@shared
 def _scores(e: Entities) -> DataFrame:
     names = {"ot_overall_max": "overall_score", "ot_genetic_max": "genetic_score", "ot_animal_model_max": "animal_model_score", "ot_known_drug_max": "known_drug_score"}
     return e.target_evidence.groupBy("target_id").agg(*[F.max(v).alias(k) for k, v in names.items()], F.countDistinct("disease_id").alias("ot_n_diseases"))
 
 
+@shared
 def _genes(e: Entities) -> DataFrame:
     limits = e.gene_constraint.select("target_id", F.col("pli").alias("gnomad_pli"), F.col("loeuf").alias("gnomad_loeuf"))
     essential = e.gene_essentiality.select("target_id", F.col("mean_effect").alias("depmap_mean_effect"), F.col("pan_essential").alias("depmap_pan_essential"), F.col("n_dependent_lineages").alias("depmap_n_dep_lineages"), F.col("most_dependent_lineage").alias("depmap_top_lineage"))
     return e.targets.join(limits, "target_id", "left").join(essential, "target_id", "left")
 
 
+@shared
 def program_evidence_wide(e: Entities) -> DataFrame:
     """V3: one row a program with all evidence; counts of targets without rows stay null."""
     literature = ("line_b_lit", "line_c_lit", "line_d_lit", "line_e_lit", "impc_n_phenotypes", "family_approved_count", "gene_approved_count")
@@ -111,11 +138,11 @@ def program_evidence_wide(e: Entities) -> DataFrame:
     places = e.indication.select("indication_id", F.col("display_name").alias("indication"), "therapeutic_area")
     # everything known of a target is joined once, before programs meet it
     by_target = genes.join(target, "target_id", "left").join(_clingen(e), "target_id", "left").join(_mendelian(e), "target_id", "left").join(_gwas(e), "target_id", "left").join(_scores(e), "target_id", "left")
-    programs = e.program.select("program_id", "drug_id", "indication_id", "sponsor_id", "sponsor_name", "highest_phase", "n_trials", "n_trials_ph2", "n_trials_ph3", "n_completed", "n_terminated")
+    own = ("program_id", "drug_id", "indication_id", "sponsor_id", "sponsor_name", "highest_phase", "n_trials", "n_trials_ph2", "n_trials_ph3", "n_completed", "n_terminated")
+    programs = programs_with_outcome(e).select(*own, *OUTCOME).drop("first_approval_id")
     return (
         programs.join(drugs, "drug_id")
         .join(places, "indication_id")
-        .join(program_outcome(e).drop("first_approval_id"), "program_id")
         .join(primary_target(e).select("drug_id", "target_id", "target_symbol"), "drug_id", "left")
         .join(tier, ["target_id", "indication_id"], "left")
         .join(by_target, "target_id", "left")
@@ -139,6 +166,7 @@ BROAD = ("approved", "efficacy_fail", "safety_fail", "commercial_fail", "enrollm
 TIGHT = BROAD[:5]
 
 
+@shared
 def effect_sizes(e: Entities) -> DataFrame:
     """V5: 2 x 2 cells and the odds ratio of each test in two cohorts; null if a cell is empty."""
     wide = program_evidence_wide(e).where(F.col("outcome_broad").isin(*BROAD) & F.col("target_id").isNotNull())
@@ -163,7 +191,7 @@ def outcome_summary(e: Entities) -> DataFrame:
     """V7: shares of outcomes."""
     from pyspark.sql import Window
 
-    rows = program_outcome(e).join(e.program.select("program_id", "drug_id"), "program_id")
+    rows = programs_with_outcome(e)
     by = rows.groupBy("outcome_broad").agg(F.count("*").alias("n_programs"), count_if(F.col("outcome_confidence") == "high").alias("n_high_conf"), F.countDistinct("drug_id").alias("n_unique_drugs"))
     return by.withColumn("pct", percent(F.col("n_programs"), F.sum("n_programs").over(Window.partitionBy())))  # a row for each outcome
 
@@ -171,15 +199,15 @@ def outcome_summary(e: Entities) -> DataFrame:
 def drug_coverage(e: Entities) -> DataFrame:
     """V8: what is known of each drug; each branch is counted before it is joined, so nothing fans out."""
     targets = e.drug_target.groupBy("drug_id").agg(F.countDistinct("target_id").alias("n_targets"))
-    outcomes = program_outcome(e).select("program_id", "approved_us", "approved_ex_us")
-    programs = e.program.select("program_id", "drug_id", "highest_phase").join(outcomes, "program_id", "left").groupBy("drug_id").agg(F.count("*").alias("n_programs"), F.bool_or("approved_us").alias("approved_us"), F.bool_or("approved_ex_us").alias("approved_ex_us"), F.max("highest_phase").alias("highest_phase_reached"))
+    programs = programs_with_outcome(e).groupBy("drug_id").agg(F.count("*").alias("n_programs"), F.bool_or("approved_us").alias("approved_us"), F.bool_or("approved_ex_us").alias("approved_ex_us"), F.max("highest_phase").alias("highest_phase_reached"))
     trials = e.program_trial.join(e.program.select("program_id", "drug_id"), "program_id").groupBy("drug_id").agg(F.countDistinct("nct_id").alias("n_trials"))
     out = e.drug.select("drug_id", "normalized_name", "resolved_via").join(targets, "drug_id", "left").join(programs, "drug_id", "left").join(trials, "drug_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_targets", "n_programs", "n_trials")})
 
 
+@shared
 def _ti_rows(e: Entities) -> DataFrame:
-    return e.program.join(primary_target(e).select("drug_id", "target_id"), "drug_id").join(program_outcome(e).select("program_id", "outcome", "outcome_broad", "approved_us", "approved_ex_us"), "program_id")
+    return programs_with_outcome(e).join(primary_target(e).select("drug_id", "target_id"), "drug_id")
 
 
 def _failed(kind: str) -> Column:
@@ -188,17 +216,19 @@ def _failed(kind: str) -> Column:
     return F.bool_or(F.col("outcome") == "safety_fail")
 
 
+@shared
 def target_indication(e: Entities) -> DataFrame:
-    """V9: programs rolled up to pairs of target and indication."""
+    """V9: programs rolled up to pairs of target and indication. A program is one row, as a drug has one primary target."""
     by = _ti_rows(e).groupBy("target_id", "indication_id").agg(
-        F.countDistinct("program_id").alias("n_programs"), F.countDistinct("drug_id").alias("n_drugs"), F.countDistinct("sponsor_name").alias("n_sponsors"), F.max("highest_phase").alias("max_phase_reached"),
+        F.count("*").alias("n_programs"), F.countDistinct("drug_id").alias("n_drugs"), F.countDistinct("sponsor_name").alias("n_sponsors"), F.max("highest_phase").alias("max_phase_reached"),
         F.bool_or(F.col("approved_us") | F.col("approved_ex_us")).alias("any_approved"), F.bool_or("approved_us").alias("any_approved_us"), _failed("efficacy").alias("any_efficacy_fail"), _failed("safety").alias("any_safety_fail"),
-        distinct_joined("outcome").alias("outcomes_all"), distinct_joined("outcome_broad").alias("outcomes_broad_all"), F.min("first_trial_date").alias("first_trial_date"), F.max("last_trial_date").alias("last_trial_date"),
+        distinct_joined_of("outcome", OUTCOMES).alias("outcomes_all"), distinct_joined_of("outcome_broad", BROAD_OUTCOMES).alias("outcomes_broad_all"), F.min("first_trial_date").alias("first_trial_date"), F.max("last_trial_date").alias("last_trial_date"),
     )
     outcome = F.when(F.col("any_approved"), "approved").when(F.col("any_efficacy_fail"), "efficacy_fail").when(F.col("any_safety_fail"), "safety_fail").when(F.col("max_phase_reached") >= 2, "attempted_no_approval").otherwise("other")
     return by.withColumn("ti_outcome", outcome)
 
 
+@shared
 def target_evidence_wide(e: Entities) -> DataFrame:
     """All evidence of each target; counts of targets without rows are 0."""
     scores = e.evidence_score.where("subject_type = 'target'")
@@ -221,6 +251,7 @@ def _relative(rows: DataFrame) -> DataFrame:
     return by.withColumns({"supported_pct_approved": percent(*yes), "not_supported_pct_approved": percent(*no), "relative_success": F.round(ratio(*yes) / F.nullif(ratio(*no), F.lit(0.0)), 2)})
 
 
+@shared
 def relative_success(e: Entities) -> DataFrame:
     """P(approved | supported) / P(approved | not supported) for each test, one scan."""
     return _relative(explode_tests(ti_pool(e), T.RELATIVE_SUCCESS, ["any_approved"]))
@@ -238,6 +269,7 @@ def combination_evidence(e: Entities) -> DataFrame:
     return by.select("ev_a", "ev_b", "n_a", "n_a_appr", rs("a").alias("rs_a_alone"), "n_b", "n_b_appr", rs("b").alias("rs_b_alone"), "n_ab", "n_ab_appr", rs("ab").alias("rs_combined"), percent(F.col("n_ab_appr"), F.col("n_ab")).alias("combined_approval_pct"))
 
 
+@shared
 def program_clean(e: Entities) -> DataFrame:
     """Programs of drugs that are no placebos, with canonical sponsors."""
     drugs = e.drug.where(~F.col("is_placebo").eqNullSafe(F.lit(True))).select("drug_id", F.col("normalized_name").alias("drug_key"), F.col("display_name").alias("drug_name"), "modality", "resolved_via", "is_placebo", "is_combination")
@@ -258,16 +290,18 @@ def dimension_coverage(e: Entities) -> DataFrame:
     return e.evidence_dimension.select("category", "dimension", "description", "data_type", "subject_type").join(scores, "dimension", "left").withColumn("n_subjects_covered", F.coalesce("n_subjects_covered", F.lit(0)))
 
 
+@shared
 def strict_outcome(e: Entities) -> DataFrame:
     """Pairs with the strict label (approved for this indication) beside the loose one."""
     strict = e.approval.select("drug_id", "indication_id").distinct().withColumn("for_this", F.lit(True))
     rows = _ti_rows(e).join(strict, ["drug_id", "indication_id"], "left").withColumn("for_this", F.coalesce("for_this", F.lit(False)))
     return rows.groupBy("target_id", "indication_id").agg(
         F.count("*").alias("n_programs"), F.countDistinct("sponsor_name").alias("n_sponsors"), F.max("highest_phase").alias("max_phase_reached"), F.min("first_trial_date").alias("first_trial_date"), F.max("last_trial_date").alias("last_trial_date"),
-        F.bool_or("for_this").alias("strict_approved_this_ti"), F.bool_or(F.col("approved_us") | F.col("approved_ex_us")).alias("loose_approved_any_indication"), _failed("efficacy").alias("any_efficacy_fail"), _failed("safety").alias("any_safety_fail"), distinct_joined("outcome_broad").alias("outcomes_broad_all"),
+        F.bool_or("for_this").alias("strict_approved_this_ti"), F.bool_or(F.col("approved_us") | F.col("approved_ex_us")).alias("loose_approved_any_indication"), _failed("efficacy").alias("any_efficacy_fail"), _failed("safety").alias("any_safety_fail"), distinct_joined_of("outcome_broad", BROAD_OUTCOMES).alias("outcomes_broad_all"),
     )
 
 
+@shared
 def precedent_by_year(e: Entities) -> DataFrame:
     """Approvals of a target and of its family before each year; a running sum over years instead of a lookup for each row."""
     families = e.targets.where("family is not null").select("target_id", "family")
@@ -293,6 +327,7 @@ def latest_tier(e: Entities, source: str | None = None) -> DataFrame:
     return rows.groupBy(F.col("subject_id").alias("target_id"), F.col("subject_id2").alias("indication_id")).agg(F.max_by("value_text", F.struct("extracted_at", "source")).alias("nelson_tier"))
 
 
+@shared
 def cohort(e: Entities, min_phase: int = 2) -> DataFrame:
     """Pairs for scoring with the loose label. All pairs of an indication with a placebo program are left out."""
     with_placebo = e.program.join(e.drug.where("is_placebo").select("drug_id"), "drug_id", "left_semi").select("indication_id").distinct()

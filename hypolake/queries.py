@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hypolake.more_queries import QUERIES as MORE
 from hypolake.plans import questions as Q
 from hypolake.plans import views as V
-from hypolake.plans.binding import Entities
+from hypolake.plans.binding import Entities, run
 from hypolake.plans.oracle_views import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,7 @@ VIEWS |= {name: (plan, Q.SQL[name]) for name, plan in Q.QUESTIONS.items()} | MOR
 
 
 def _query(plan: Plan) -> Query:
-    return lambda spark, folder: plan(Entities(spark, folder))
+    return lambda spark, folder: run(plan, spark, folder)
 
 
 def queries() -> dict[str, Query]:
