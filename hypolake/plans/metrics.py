@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hypolake.operators.lineage import cut
 from hypolake.operators.relational import with_running_totals
 
 #: Widths of the ranges by which scores and keys of rows are dealt.
@@ -84,6 +85,45 @@ def ece(df: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
     return rows.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n")).alias("ece"))
 
 
+def mrr(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of 1 / rank over the positives; equal scores share the smallest rank of their tie. Null without positives."""
+    scores = by_score(df, by).withColumn("both", F.col("pos") + F.col("neg"))
+    rows = with_running_totals(scores, by, "p", ["both"], SCORE_WIDTH, descending=True)
+    return rows.groupBy(*by).agg((F.sum(F.col("pos") / (F.col("before_both") + 1)) / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("mrr"))
+
+
+def calibration_slope(df: DataFrame, by: Sequence[str] = (), steps: int = 25, tolerance: float = 1e-10, edge: float = 1e-6) -> DataFrame:
+    """Intercept and slope of y ~ logit(p) of each group; slope 1 and intercept 0 where scores are calibrated.
+
+    Newton's steps from (0, 0), each one aggregation of the distinct scores to five sums a group; scores are held
+    ``edge`` away from 0 and 1. Null where a class is missing, all scores are one, or the steps do not settle
+    (scores that part the classes).
+    """
+    p = F.least(F.greatest(F.col("p"), F.lit(edge)), F.lit(1 - edge))
+    scores = cut(by_score(df, by).withColumn("x", F.log(p / (1 - p))).withColumn("n", (F.col("pos") + F.col("neg")).cast("double")))
+    now = scores.groupBy(*by).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(False).alias("done"))
+    eta = F.col("a") + F.col("b") * F.col("x")
+    q = 1 / (1 + F.exp(-eta))
+    w, r, x = F.col("n") * q * (1 - q), F.col("pos") - F.col("n") * q, F.col("x")
+    total = lambda c, name: F.sum(c).alias(name)
+    for _ in range(steps):
+        other = now.withColumnsRenamed({c: f"_{c}" for c in by})
+        joined = scores.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else scores.crossJoin(other)  # one row without groups
+        sums = joined.groupBy(*by, "a", "b", "done").agg(total(w, "s0"), total(w * x, "s1"), total(w * x * x, "s2"), total(r, "g0"), total(r * x, "g1"))
+        # a matrix that is singular but for rounding has no solution
+        det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
+        det = F.when(det > 1e-12 * F.col("s0") * F.col("s2"), det)
+        da, db = (F.col("s2") * F.col("g0") - F.col("s1") * F.col("g1")) / det, (F.col("s0") * F.col("g1") - F.col("s1") * F.col("g0")) / det
+        still = ~F.col("done")
+        step = lambda old, d: F.when(still, F.col(old) + d).otherwise(F.col(old)).alias(old)
+        settled = F.coalesce(F.greatest(F.abs(da), F.abs(db)) <= tolerance, F.lit(False))
+        now = cut(sums.select(*by, step("a", da), step("b", db), (F.col("done") | settled | det.isNull()).alias("done")))
+        if now.where(~F.col("done")).isEmpty():
+            break
+    ok = F.col("done") & (F.abs("b") < 1e6)
+    return now.select(*by, F.when(ok, F.col("a")).alias("calibration_intercept"), F.when(ok, F.col("b")).alias("calibration_slope"))
+
+
 def calibration(df: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """N, mean score, observed rate and gap of each bin from 1; a score of 1 has a bin of its own after the last."""
     rows = df.where(F.col("p").isNotNull()).groupBy(*by, F.width_bucket("p", F.lit(0.0), F.lit(1.0), F.lit(bins)).cast("int").alias("bin"))

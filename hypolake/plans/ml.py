@@ -227,14 +227,11 @@ def stratified_folds(df: DataFrame, k: int = 5, keys: Sequence[str] = ("target_i
 
 
 def group_folds(df: DataFrame, group: str = "target_id", k: int = 5, name: str = "fold") -> DataFrame:
-    """No group in two folds; groups go, largest first, to the lightest fold. Only the groups' sizes (at most some thousand rows) are dealt on the driver."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).collect()
-    load, fold = [0] * k, []
-    for r in sizes:
-        lightest = min(range(k), key=lambda i: (load[i], i))
-        load[lightest] += r["n"]
-        fold.append((r[group], lightest))
-    return df.join(df.sparkSession.createDataFrame(fold, f"{group} long, {name} int"), group)
+    """No group in two folds. Groups are ranked by falling size, range by range, and dealt forth and back, so that two folds differ by the largest group's rows at most, whatever the number of groups; nothing is dealt on the driver. Rows without a group are one group."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    turn = (F.col("_turn") - 1) % (2 * k)
+    dealt = with_rank(sizes, [F.desc("_n"), F.asc_nulls_first(group)], "_turn").select(F.col(group).alias("_group"), F.least(turn, 2 * k - 1 - turn).cast("int").alias(name))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def out_of_fold(df: DataFrame, maker: Maker, names: Sequence[str], k: int = 5, fold: str = "fold") -> DataFrame:
@@ -279,10 +276,77 @@ def per_group(df: DataFrame, group: str, maker: Maker, names: Sequence[str], lea
     return {r[group]: out_of_fold(stratified_folds(df.where(F.col(group) == r[group]), k), maker, names, k) for r in sizes if r[group] is not None and r["n"] >= least and r["pos"] >= positives and r["n"] - r["pos"] >= positives}
 
 
+#: The feature that each dimension of relative success stands for.
+DIMENSION_FEATURES = {
+    "A. Mendelian ≥5": "mendelian_n",
+    "A. ClinGen Strong/Def ≥1": "clingen_n_strong",
+    "A. GWAS ≥50": "gwas_n_sig",
+    "A. OT genetic ≥0.3": "ot_genetic_max",
+    "A. OT somatic ≥0.3": "ot_somatic_score_max",
+    "B. Reactome pathways ≥5": "n_reactome_pathways",
+    "B. PPI hub (≥50 partners)": "n_ppi_partners",
+    "B. GO-BP ≥20 terms": "n_go_biological_process",
+    "B. Bulk Tau ≥0.75": "tau_specificity",
+    "B. SC Tau ≥0.75": "sc_tau_specificity",
+    "B. Tractable — small mol": "tractability_sm",
+    "B. Tractable — antibody": "tractability_ab",
+    "C. Line C lit high (≥2)": "line_c_lit",
+    "C. DepMap pan-essential": "depmap_pan_essential",
+    "D. Line D lit high (≥2)": "line_d_lit",
+    "D. OT animal model ≥0.3": "ot_animal_model_max",
+    "D. IMPC ≥3 phenotypes": "impc_n_phenotypes",
+    "D. HPO ≥10 phenotypes": "n_hpo_phenotypes",
+    "E. Line E lit high (≥2)": "line_e_lit",
+    "H. gnomAD pLI ≥0.9": "gnomad_pli",
+    "H. gnomAD LOEUF <0.35": "gnomad_loeuf",
+    "I. Causal disease pleiotropy ≥3": "n_causal_diseases",
+    "I. DGIdb drug precedent ≥5": "n_dgidb_drugs",
+}
+
+
+def coefficients(df: DataFrame, names: Sequence[str], c: float = 0.5, weighted: bool = True) -> DataFrame:
+    """Feature, beta (for a standard deviation, as fitted) and beta_original (for one unit of the feature) of L3, uncalibrated. A feature without any value has none."""
+    imputer = Imputer(names, scale=True).fit(df)
+    rows, total = balanced(df)
+    model = LogisticRegression(regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10)
+    if weighted:
+        model = model.setWeightCol("weight")
+    found = model.fit(imputer.transform(rows)).coefficients.toArray()
+    out = [(n, float(b), float(b / imputer.deviation[n])) for n, b in zip(imputer.median, found)]  # a row for each feature
+    return df.sparkSession.createDataFrame(out, "feature string, beta double, beta_original double")
+
+
+def feature_agreement(relative: DataFrame, found: DataFrame, least: int = 100, of: dict[str, str] = DIMENSION_FEATURES) -> DataFrame:
+    """Each dimension with enough support beside its feature's coefficient, and whether both point the same way."""
+    pairs = _pairs(relative, of)
+    rows = relative.where((F.col("n_supported") >= least) & F.col("relative_success").isNotNull()).join(pairs, "dimension").join(found, "feature")
+    return rows.select("dimension", "feature", "relative_success", "beta", "beta_original", ((F.col("relative_success") > 1) == (F.col("beta") > 0)).alias("agrees"))
+
+
+def _pairs(like: DataFrame, of: dict[str, str]) -> DataFrame:
+    return like.sparkSession.createDataFrame(sorted(of.items()), "dimension string, feature string")
+
+
+def aligned_share(agreement: DataFrame) -> DataFrame:
+    """How many dimensions were compared, and the share that agrees."""
+    return agreement.agg(F.count("*").alias("n"), F.round(100.0 * F.avg(F.col("agrees").cast("double")), 1).alias("pct_aligned"))
+
+
+def top_features(found: DataFrame, k: int = 15) -> DataFrame:
+    """The k largest and the k smallest coefficients, ties by name; rank counts from 1 on each side."""
+    from pyspark.sql import Window
+
+    sides = []
+    for side, order in (("positive", F.desc("beta")), ("negative", F.asc("beta"))):
+        best = found.orderBy(order, "feature").limit(k)
+        sides.append(best.select(F.lit(side).alias("side"), F.row_number().over(Window.orderBy(order, "feature")).alias("rank"), "feature", "beta", "beta_original"))  # k rows
+    return sides[0].unionByName(sides[1])
+
+
 def sign_agreement(relative: DataFrame, coefficients: DataFrame, least: int = 100) -> DataFrame:
-    """Share of dimensions whose coefficient has the sign of their relative success."""
+    """Share of dimensions whose coefficient (by dimension) has the sign of their relative success."""
     rows = relative.where(F.col("n_supported") >= least).join(coefficients, "dimension").withColumn("agrees", (F.col("relative_success") > 1) == (F.col("beta") > 0))
-    return rows.agg(F.count("*").alias("n"), F.round(100.0 * F.avg(F.col("agrees").cast("double")), 1).alias("pct_aligned"))
+    return aligned_share(rows)
 
 
 def labelled(cohort: DataFrame, label: str = "y", keep: Sequence[str] = ("target_id", "indication_id")) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hypolake.evaluation_queries import QUERIES as EVALUATION
 from hypolake.more_queries import QUERIES as MORE
 from hypolake.plans import questions as Q
 from hypolake.plans import views as V
@@ -58,7 +59,7 @@ VIEWS: dict[str, tuple[Plan, str | None]] = {
         round(CASE WHEN count(*) >= 2 THEN (count(*) - sum(value) / max(value)) / (count(*) - 1) END, 9) AS sc_tau_specificity FROM single_cell_expression WHERE value > 0 GROUP BY target_id""",
     ),
 }
-VIEWS |= {name: (plan, Q.SQL[name]) for name, plan in Q.QUESTIONS.items()} | MORE
+VIEWS |= {name: (plan, Q.SQL[name]) for name, plan in Q.QUESTIONS.items()} | MORE | EVALUATION
 
 
 def _query(plan: Plan) -> Query:
