@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hypolake.functions import sponsors
+from hypolake.operators.lineage import shared_path
 from hypolake.plans import metrics, ml
 from hypolake.plans import views as V
 from hypolake.plans.binding import Entities
+from hypolake.sources import readers, sinks
 
 Plan = Callable[[Entities], DataFrame]
 
@@ -45,7 +47,8 @@ def _newton_sql(steps: int = 12) -> str:
 
 def group_folds(e: Entities) -> DataFrame:
     """The fold of each target of the strict cohort, and its rows."""
-    rows = ml.group_folds(ml.labelled(V.strict_cohort(e)).select("target_id"), "target_id", 5)
+    cohort = e.keep(V.strict_cohort(e).select("target_id"))  # read for the sizes and again for the folds
+    rows = ml.group_folds(cohort, "target_id", 5)
     return rows.groupBy("target_id", "fold").agg(F.count("*").alias("n_rows"))
 
 
@@ -105,11 +108,42 @@ def _canonical_sql() -> str:
   SELECT p.raw, CASE WHEN p.raw = '' THEN 'Unknown' ELSE coalesce(found, {title}, {suffix.replace("raw", "p.raw")}) END AS canonical FROM p LEFT JOIN m ON m.raw = p.raw"""
 
 
+def audited_ingest(e: Entities) -> DataFrame:
+    """Orders as JSON lines, some of them broken, are ingested in one pass: what the table holds, beside the audit row's counts."""
+    spark, source, target, log = e.spark, shared_path(e.spark), shared_path(e.spark), shared_path(e.spark)
+    line = F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))
+    broken = F.when(F.col("o_orderkey") % 97 == 5, F.expr("left(line, length(line) - 4)")).otherwise(F.col("line"))
+    e.orders.withColumn("line", line).select(broken.alias("value")).write.text(source)
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double"
+    sinks.ingest(readers.json_lines_with_bad(spark, source, schema), target, log, "orders.jsonl", "orders")
+    rows = spark.read.parquet(target).where("is_bad = 0").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return rows.crossJoin(spark.read.parquet(log).select("rows_read", "rows_inserted", "rows_skipped"))  # one row
+
+
+INGEST_SQL = """SELECT o_orderstatus, count(*) AS n, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS total, (SELECT count(*) FROM orders) AS rows_read,
+  (SELECT count(*) FROM orders WHERE o_orderkey % 97 <> 5) AS rows_inserted, (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 5) AS rows_skipped
+  FROM orders WHERE o_orderkey % 97 <> 5 GROUP BY o_orderstatus"""
+
+
+def last_scores(e: Entities) -> DataFrame:
+    """Scores from several CSV files with repeated pairs; the last one counts, in order of files and lines."""
+    path = shared_path(e.spark)
+    rows = e.events.select("event_id", F.col("user_id").alias("target_id"), (F.col("event_id") % 7).alias("indication_id"), F.col("value").alias("predicted_p_approval"))
+    ordered = rows.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").drop("event_id")
+    ordered.write.csv(path, header=True)
+    return readers.last_scores(readers.external_scores(e.spark, path)).withColumn("p", F.round("p", 8))
+
+
+LAST_SCORES_SQL = "SELECT user_id AS target_id, event_id % 7 AS indication_id, round(CAST(arg_max(value, event_id) AS DOUBLE), 8) AS p FROM events GROUP BY 1, 2"
+
+
 #: name -> (plan, SQL or None)
 QUERIES: dict[str, tuple[Plan, str | None]] = {
     "m11_mrr_and_slope": (mrr_and_slope, _newton_sql()),
     "l9_group_folds": (group_folds, GROUP_FOLDS_SQL),
     "m12_feature_agreement": (feature_agreement, None),
     "m12_top_features": (top_features, None),
+    "s9_audited_ingest": (audited_ingest, INGEST_SQL),
+    "s11_last_scores": (last_scores, LAST_SCORES_SQL),
     "e25_canonical_names": (canonical_names, _canonical_sql()),
 }
