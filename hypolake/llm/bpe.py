@@ -36,6 +36,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Characters of a text looked at together, characters of a pre-token fed at once, bytes that the transducer decides at a time, and characters of a pre-token and bytes of all that the memo takes.
 SLICE, PIECE, STEP, MEMO_WORD, MEMO_BYTES = 1 << 16, 1024, 128, 64, 40 << 20
+#: Bytes of ids after which rows are handed over.
+OUT_BYTES = 4 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -246,9 +248,20 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         import numpy as np
 
         vocab, _, _ = _loaded(vocabulary)
+        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+
+        def part(batch: pa.RecordBatch, first: int, rows: list[tuple]) -> pa.RecordBatch:
+            ns, id_digests, text_digests, kept = zip(*rows)
+            cols = [batch.column(0).slice(first, len(rows)), pa.array(ns, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+            if with_ids:
+                # bytes of ids go to Arrow as they are, without an object for each id
+                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in kept])]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for batch in batches:
-            ns, id_digests, text_digests, kept = [], [], [], []
-            for text in batch.column(1):
+            rows, first, held = [], 0, 0
+            for at, text in enumerate(batch.column(1)):
                 ids_sha, text_sha, n, decoder, own = hashlib.sha256(), hashlib.sha256(), 0, Decoder(vocab), []
                 for piece in encode_stream(vocabulary, text.as_py()):
                     ids_sha.update(piece)
@@ -258,18 +271,13 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
                     if with_ids:
                         own.append(piece)
                 text_sha.update(decoder.finish().encode())
-                ns.append(n)
-                id_digests.append(ids_sha.hexdigest())
-                text_digests.append(text_sha.hexdigest())
-                kept.append(b"".join(own))
-            cols = [batch.column(0), pa.array(ns, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                # bytes of ids go to Arrow as they are, without an object for each id
-                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in kept])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(kept), "<i4")))
-                cols, names = [*cols, lists], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest(), b"".join(own)))
+                held += 4 * n * with_ids
+                if held >= OUT_BYTES:
+                    yield part(batch, first, rows)
+                    rows, first, held = [], at + 1, 0
+            if rows:
+                yield part(batch, first, rows)
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return small_batches(df).select(id_col, text_col).mapInArrow(run, schema)

@@ -93,3 +93,11 @@ def test_decoder_waits_for_the_rest_of_a_character(library):
     assert "".join(d.feed([i]) for i in n) + d.finish() == "漢字 🙂"
     d = bpe.Decoder(v)
     assert d.feed(n[:1]) + d.finish() == library.decode(n[:1])
+
+
+def test_rows_are_handed_over_by_bytes(spark, monkeypatch):
+    rows = hard_rows(random.Random(12))
+    whole = bpe.encode_decode(documents(spark, rows), vocabulary_path(), with_ids=True).collect()
+    monkeypatch.setattr(bpe, "OUT_BYTES", 40)
+    source = bpe.encode_decode(documents(spark, rows).coalesce(1), vocabulary_path(), with_ids=True)
+    assert sorted(map(str, source.collect())) == sorted(map(str, whole))
