@@ -183,7 +183,7 @@ def forest(trees: int = 200, depth: int = 8, leaf: int = 10, seed: int = 42) ->
 
 
 def boosted(rounds: int = 60, depth: int = 5, step: float = 0.1, seed: int = 42) -> Maker:
-    """Gradient-boosted trees, in place of boosting libraries that Spark has not: no leaf-wise growth, no monotone constraints."""
+    """Gradient-boosted trees of Spark ML, in place of libraries that it has not; L6 is in ``boosting``."""
 
     def make(df: DataFrame, names: Sequence[str]) -> Fitted:
         imputer = Imputer(names, scale=False).fit(df)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hypolake.plans import boosting
+from hypolake.plans import boosting, ml
 
 NAMES = ["a", "b", "c", "d"]
 SMALL = boosting.Settings(rounds=6, depth=3, step=0.3, bins=8, least_rows=10, l1=0.5, l2=1.0, columns=0.75, signs={"a": 1, "b": -1})
@@ -143,3 +143,10 @@ def test_defined_cases(spark):
     assert empty.count() == boosting.boosted(SMALL)(empty, NAMES)(empty).where("p between 0 and 1").count()
     with pytest.raises(ValueError):
         boosting.fit(df, NAMES, F.lit(1), 63)
+
+
+def test_trees_of_spark_ml_tell_the_classes_apart(spark):
+    x, y = made(300, 6)
+    df = frame(spark, x, y)
+    p = {r["id"]: r["p"] for r in ml.boosted(rounds=3, depth=3)(df, NAMES)(df).collect()}
+    assert len(p) == 300 and np.mean([p[i] for i in range(300) if y[i]]) > np.mean([p[i] for i in range(300) if not y[i]]) + 0.1
