@@ -1,10 +1,11 @@
 """Secret scans with a random forest against false positives.
 
-Patterns find candidate values line by line, and private keys as blocks of lines
-from BEGIN to END; a random forest (Spark ML, in the
-JVM) trained from labelled findings judges each by its length, the changes
+Patterns cut a text into plain and candidate pieces: values within a line, and
+private keys as blocks of lines from BEGIN to END. A random forest (Spark ML, in the
+JVM) trained from labelled findings judges each candidate by its length, the changes
 between character classes, how far dictionary words cover it, its path and the
-words around it. Only Spark functions are used, and nothing is shuffled.
+words around it. Only Spark functions are used, and a scan shuffles nothing. Values
+judged secret are replaced by their places among the pieces, in one pass.
 
 Labelled findings are a table (path, line, value, label). ``labelled_findings``
 makes one by rule for use where no reviewed findings are at hand.
@@ -17,6 +18,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -33,41 +36,59 @@ TEST_PATH = r"(?i)(test|spec|example|sample|mock|fixture|docs?/|readme)"
 
 #: A private key with its body; the possessive groups do not recurse, however long a text is.
 KEY_BLOCK = r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*+(?<=PRIVATE KEY)-----"
-#: A named value, a known form, or a long run of letters and digits that holds both: anywhere in a run if both come early, else from the run's start, so that a run is looked through once.
+#: A named value, a known form, or a long run of letters and digits that holds both: anywhere in a run if both come early, else from the run's start, so that a run is looked through once. None of them goes over the end of a line.
 RUN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?i:\b(?:{NAMES})\b[\"']?\s{{0,4}}(?::=|=>|[:=])\s{{0,4}}[\"']?[^\s\"'<>,;]{{8,}})|{'|'.join(FORMS)}|\b(?=[A-Za-z+/_=-]{{0,40}}[0-9])(?=[0-9+/_=-]{{0,40}}[A-Za-z]){RUN}{{24,}}|(?<!{RUN})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){RUN}{{24,}}"
-MARK = "\u0001"
+GAP = r"[ \t\x0B\f\r]{0,4}"
+CANDIDATE = rf"(?i:\b(?:{NAMES})\b[\"']?{GAP}(?::=|=>|[:=]){GAP}[\"']?[^\s\"'<>,;]{{8,}})|{'|'.join(FORMS)}|\b(?=[A-Za-z+/_=-]{{0,40}}[0-9])(?=[0-9+/_=-]{{0,40}}[A-Za-z]){RUN}{{24,}}|(?<!{RUN})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){RUN}{{24,}}"
+#: What every candidate has: a sign of assignment, twenty characters of a run, or the start of a form that is shorter.
+HINT = rf"[:=]|(?<!{RUN}){RUN}{{20}}|xox[abprs]-|eyJ|-----BEGIN "
+#: Pieces whose sizes are summed at once.
+BLOCK = 128
 FEATURES = ("length", "runs", "digits", "capitals", "symbols", "variety", "hexadecimal", "covered", "named", "known_form", "benign_words", "test_path", "quoted")
 
 
-def _key_blocks(some: DataFrame) -> DataFrame:
-    """Candidates that are whole private keys; they start in line line_no."""
-    pieces = some.where(F.col("t").contains("-----BEGIN ") & F.col("t").rlike(KEY_BLOCK)).select("id", "path", F.split("t", KEY_BLOCK).alias("p"), F.regexp_extract_all("t", F.lit(f"({KEY_BLOCK})"), F.lit(1)).alias("b"))
-    each = pieces.select("id", "path", "p", "b", F.explode(F.sequence(F.lit(1), F.size("b"))).alias("k"))
-    ahead = F.concat(F.array_join(F.transform(F.slice("p", 1, F.col("k") - 1), lambda x, i: F.concat(x, F.get("b", i))), ""), F.get("p", F.col("k") - 1))
-    last = F.substring_index("ahead", "\n", -1)
-    return each.withColumn("ahead", ahead).select("id", "path", (F.length("ahead") - F.length(F.replace("ahead", F.lit("\n"), F.lit(""))) + 1).cast("int").alias("line_no"), (F.length(last) + 1).cast("int").alias("start"), F.get("b", F.col("k") - 1).alias("match"), F.right(last, F.lit(80)).alias("before"), F.left(F.substring_index(F.get("p", F.col("k")), "\n", 1), F.lit(80)).alias("after"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a text has a candidate; a cheap test that every candidate passes goes first."""
+    return F.coalesce(text.rlike(HINT) & text.rlike(CANDIDATE), F.lit(False))
+
+
+def segments(text: Column) -> Column:
+    """The text cut into plain and candidate pieces by turns, plain ones (which may be empty) first and last; joined, they are the text. Private keys are cut out first."""
+    turns = lambda t, pattern, inner: F.flatten(F.transform(F.arrays_zip(F.split(t, pattern).alias("plain"), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)).alias("hit")), lambda z: F.concat(inner(z["plain"]), F.when(z["hit"].isNull(), F.array().cast("array<string>")).otherwise(F.array(z["hit"])))))
+    return turns(text, KEY_BLOCK, lambda outside: turns(outside, CANDIDATE, lambda x: F.array(x)))
+
 
+def _places(pieces: Column) -> Column:
+    """A struct (nth, line_no, start, match, before, after) for every candidate piece. Lines and columns are summed by blocks of pieces, so that texts with very many candidates stay cheap."""
+    origin = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("tail"))
+    moved = lambda at, by: F.struct((at["lines"] + by["lines"]).alias("lines"), F.when(by["lines"] > 0, by["tail"]).otherwise(at["tail"] + by["tail"]).alias("tail"))
+    step = lambda s: F.struct((F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).alias("lines"), F.length(F.substring_index(s, "\n", -1)).alias("tail"))
+    block = lambda k: F.floor(k / BLOCK).cast("int")
+    spread = lambda sizes: F.transform(F.sequence(F.lit(0), block(F.size(sizes) - 1)), lambda j: F.aggregate(F.slice(sizes, j * BLOCK + 1, F.lit(BLOCK)), origin, moved))
+    before_block = lambda sums: F.transform(sums, lambda _, j: F.aggregate(F.slice(sums, F.lit(1), j), origin, moved))
 
-def _without_blocks(text: Column) -> Column:
-    """The text with private keys made blank, line by line, so that all else keeps its place."""
-    blanks = F.transform(F.regexp_extract_all(text, F.lit(f"({KEY_BLOCK})"), F.lit(1)), lambda b: F.regexp_replace(b, r"[^\n]", " "))
-    joined = F.array_join(F.transform(F.split(text, KEY_BLOCK), lambda x, i: F.concat(x, F.coalesce(F.get(blanks, i), F.lit("")))), "")
-    return F.when(text.contains("-----BEGIN ") & text.rlike(KEY_BLOCK), joined).otherwise(text)
+    def each(sizes: Column, heads: Column) -> Column:
+        def place(nth: Column) -> Column:
+            k = 2 * nth + 1
+            at = F.aggregate(F.slice(sizes, block(k) * BLOCK + 1, k % BLOCK), F.get(heads, block(k)), moved)
+            return _let(at, lambda a: F.struct(nth.alias("nth"), (a["lines"] + 1).alias("line_no"), (a["tail"] + 1).alias("start"), F.get(pieces, k).alias("match"), F.right(F.substring_index(F.get(pieces, k - 1), "\n", -1), F.lit(80)).alias("before"), F.left(F.substring_index(F.get(pieces, k + 1), "\n", 1), F.lit(80)).alias("after")))
+
+        count = F.floor(F.size(pieces) / 2).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), place))
+
+    return _let(F.transform(pieces, step), lambda sizes: _let(_let(spread(sizes), before_block), lambda heads: each(sizes, heads)))
 
 
 def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """id, path, line_no (from 1), start (code points in the line, from 1), match, before and after for every candidate."""
+    """id, path, nth (from 0 in its text), line_no (from 1), start (code points in the line, from 1), match, before and after for every candidate."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    some = df.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("t"))
-    plain = some.where(F.col("t").rlike(CANDIDATE)).select("id", "path", F.translate(_without_blocks(F.col("t")), MARK, " ").alias("t"))
-    lines = plain.select("id", "path", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where(F.col("line").rlike(CANDIDATE))
-    parts = lines.withColumn("parts", F.split(F.regexp_replace("line", f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK))
-    sizes = F.transform("parts", lambda p: F.length(p))
-    spans = parts.withColumn("sizes", sizes).select("id", "path", "line_no", "line", "parts", "sizes", F.explode(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))).alias("k"))
-    start = F.aggregate(F.slice("sizes", 1, F.col("k")), F.lit(1), lambda a, x: a + x)
-    found = spans.select("id", "path", (F.col("line_no") + 1).alias("line_no"), start.alias("start"), F.get("parts", F.col("k")).alias("match"), F.right(F.get("parts", F.col("k") - 1), F.lit(80)).alias("before"), F.left(F.get("parts", F.col("k") + 1), F.lit(80)).alias("after"))
-    return found.unionByName(_key_blocks(some))
+    some = df.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("t")).where(may_hold(F.col("t")))
+    return some.select("id", "path", F.inline(_let(segments(F.col("t")), _places)))
 
 
 def value_of(match: Column) -> Column:
@@ -160,22 +181,30 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 7, seed: int = 1) -
     return PipelineModel([assembler, forest.fit(assembler.transform(rows))])
 
 
+def judge(found: DataFrame, model: PipelineModel, threshold: float) -> DataFrame:
+    """Candidates with value, probability and is_secret."""
+    judged = model.transform(with_features(found.withColumn("value", value_of(F.col("match"))))).withColumn("probability", F.get(vector_to_array("probability"), 1))
+    return judged.withColumn("is_secret", F.col("probability") >= threshold)
+
+
 def scan(df: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """Findings: id, line_no, start and size of the value in its line, value's digest, probability and is_secret; the value itself stays in column value."""
-    found = candidates(df, id_col, text_col, path_col).withColumn("value", value_of(F.col("match")))
-    judged = model.transform(with_features(found)).withColumn("probability", F.get(vector_to_array("probability"), 1))
+    judged = judge(candidates(df, id_col, text_col, path_col), model, threshold)
     offset = F.length("match") - F.length("value")
-    return judged.select(F.col("id").alias(id_col), "line_no", (F.col("start") + offset).cast("int").alias("start"), F.length("value").alias("size"), "value", F.sha2("value", 256).alias("value_sha256"), "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    return judged.select(F.col("id").alias(id_col), "line_no", (F.col("start") + offset).cast("int").alias("start"), F.length("value").alias("size"), "value", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
 
 
 def redacted(df: DataFrame, model: PipelineModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", stand_in: str = "[SECRET]") -> DataFrame:
-    """df with every value judged secret replaced in the text. Only documents with a candidate are shuffled."""
-    has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    some = df.where(has)
-    secrets = scan(some, model, id_col, text_col, path_col).where("is_secret").groupBy(F.col(id_col).alias("__secret_id")).agg(F.collect_set("value").alias("__secrets"))
-    # the longest first, so that a value inside another does not break it
-    ordered = F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(ordered, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(stand_in)))
-    joined = some.join(secrets, F.col(id_col).eqNullSafe(F.col("__secret_id")), "left")
-    joined = joined.withColumn(text_col, F.when(F.col("__secrets").isNotNull(), clean).otherwise(F.col(text_col))).drop("__secret_id", "__secrets")
-    return df.where(~has).unionByName(joined)
+    """df with every value judged secret replaced where it stands, in one pass over the pieces of its text. Only documents with a candidate are shuffled; equal texts of one id and path share their verdicts."""
+    has = may_hold(F.col(text_col))
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
+    some = df.where(has).withColumn("__key", F.struct(F.col(id_col).alias("id"), path.alias("path"), F.xxhash64(text_col).alias("text")))
+    judged = judge(candidates(some, "__key", text_col, path_col), model, 0.5)
+    # how much of the match stays before the value, or -1 where all of it does
+    skip = F.when(F.col("is_secret"), F.length("match") - F.length("value")).otherwise(-1)
+    verdicts = judged.groupBy(F.col("id").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("nth", skip.alias("skip")))).alias("__verdicts"))
+    verdicts = verdicts.where(F.exists("__verdicts", lambda v: v["skip"] >= 0))
+    piece = lambda s, i: F.when(i % 2 == 0, s).otherwise(_let(F.get("__verdicts", F.floor(i / 2).cast("int"))["skip"], lambda n: F.when(n >= 0, F.concat(F.left(s, n), F.lit(stand_in))).otherwise(s)))
+    clean = F.array_join(F.transform(segments(F.col(text_col)), piece), "")
+    joined = some.join(verdicts, F.col("__key").eqNullSafe(F.col("__of")), "left")
+    return df.where(~has).unionByName(joined.withColumn(text_col, F.when(F.col("__verdicts").isNotNull(), clean).otherwise(F.col(text_col))).drop("__key", "__of", "__verdicts"))

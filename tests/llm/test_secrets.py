@@ -96,3 +96,42 @@ def test_long_runs_whose_digits_come_late(spark):
     began = time.time()
     got = [r["match"] for r in secrets.candidates(df, "doc_id", "text", "source").select("match").collect()]
     assert got == [value] and time.time() - began < 60
+
+
+def test_texts_with_very_many_values_and_keys(spark, model):
+    import time
+
+    values = [key(1000 + i) for i in range(16_000)]
+    rows = [(1, " ".join(f'token = "{v}"' for v in values)), (2, "\n".join(f'x token = "{v}"' for v in values)), (3, "\n".join(f"{i} {PEM} end" for i in range(800)))]
+    df, began = documents(spark, rows), time.time()
+    got = {}
+    for r in secrets.scan(df, model).where("is_secret").collect():
+        got.setdefault(r["doc_id"], []).append((r["line_no"], r["start"], r["value"]))
+    assert sorted(got[1]) == [(1, 10 + 51 * i, v) for i, v in enumerate(values)]
+    assert sorted(got[2]) == [(i + 1, 12, v) for i, v in enumerate(values)]
+    n = PEM.count("\n") + 1
+    assert sorted(got[3]) == [(1 + i * n, len(str(i)) + 2, PEM) for i in range(800)]
+    assert time.time() - began < 60
+    began = time.time()
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(df, model).collect()}
+    assert clean == {1: " ".join(['token = "[SECRET]"'] * 16_000), 2: "\n".join(['x token = "[SECRET]"'] * 16_000), 3: "\n".join(f"{i} [SECRET] end" for i in range(800))}
+    assert time.time() - began < 60
+
+
+def test_candidates_by_brute_force(spark):
+    import regex
+
+    rng = random.Random(43)
+    bits = [*BARE.values(), "token = ", "API_KEY:", "secret=>'", "\n", " ", "é", "\x01", "-", "=", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "commit", '"', key(80), "q" * 45 + "123", "a1" * 11, "x" * 12, "🙂"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))) for i in range(300)]
+    want = []
+    for i, t in rows:
+        at = 0
+        for n, piece in enumerate(regex.split(f"({secrets.KEY_BLOCK})", t)):
+            hits = [(0, piece)] if n % 2 else [(m.start(), m.group()) for m in regex.finditer(secrets.CANDIDATE, piece)]
+            for start, match in hits:
+                ahead = t[: at + start]
+                want.append((i, ahead.count("\n") + 1, len(ahead) - ahead.rfind("\n"), match))
+            at += len(piece)
+    got = [tuple(r) for r in secrets.candidates(documents(spark, rows), "doc_id", "text", "source").select("id", "line_no", "start", "match").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 500
