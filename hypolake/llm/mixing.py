@@ -50,6 +50,8 @@ def featured(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
 def classifier(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> PipelineModel | None:
     """Domain classifier from at most max_labelled labelled documents, by a hash of their ids."""
     known = labels.select(F.col(id_col).alias("id"), domain_number().alias("label")).dropna()
+    # only labels of documents that are there count against the bound
+    known = known.join(df.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_labelled))  # bounded by the limit
     rows = df.select(F.col(id_col).alias("id"), text_col).join(known, "id")
     rows = cut(featured(rows, text_col, "label"))

@@ -55,3 +55,16 @@ def test_hard_rows(spark):
     assert out.count() == both.count() and out.where("n_tokens is null or rate is null or rate < 0").count() == 0
     assert mixing.mixed(documents(spark, []), labels).count() == 0
     assert {r["rate"] for r in mixing.mixed(docs, labels.limit(0)).select("rate").distinct().collect()} == {1.0}
+
+
+def test_posteriors_of_documents_without_labels(spark):
+    """Labels of documents that are not there take no room in the sample, and domains of unlabelled documents are found."""
+    rng = random.Random(54)
+    docs, labels = corpus(spark, rng)
+    absent = spark.range(10_000, 14_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    both = labels.unionByName(absent)
+    assert mixing.classifier(docs, both, "doc_id", "text", 150) is not None
+    p = mixing.memberships(docs, both, "doc_id", "text").where("id % 2 = 1").select("id", "p").collect()
+    want = lambda i: 1 if i % 5 == 0 else 2 if i % 7 == 1 else 0
+    right = sum(max(range(3), key=lambda k: r["p"][k]) == want(r["id"]) for r in p)
+    assert len(p) == 150 and right >= 0.9 * len(p)
