@@ -17,6 +17,11 @@ Buckets come in three sizes, each exact:
 Components come from alternating large-star and small-star steps on the links of
 fingerprints, each step cut by a checkpoint.
 
+Fingerprints of 64 bits cannot tell texts at a similarity of 0.8 from others: such
+pairs differ in some ten bits. ``deduplicated`` therefore adds to the links of
+fingerprints those of a wide rule: shingles of five words, candidates by bands of
+MinHash values, verified by the Jaccard similarity of the whole sets.
+
 Defined cases: a null or empty text, or one without words, has fingerprint zero
 and is linked like any other; fewer words than a shingle count as one shingle;
 repeated rows come out once each; a null id never names a component unless all
@@ -33,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hypolake.llm.common import cut, small_batches
+from hypolake.llm.common import cut, small_batches, written
 
 SHINGLE, MAX_BITS, BLOCKS, SMALL, LARGE = 3, 3, 6, 48, 4096
+#: Of the wide rule: words of a shingle, similarity, MinHash bands and values in each (a pair at 0.8 shares a band with probability 0.998), and sets of a bucket that are all compared.
+WIDE, SIMILARITY, BANDS, ROWS, FEW = 5, 0.8, 16, 5, 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -154,21 +161,111 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return small.select(F.col("v").alias("node"), F.col("u").alias("root")).union(small.select("u", "u").distinct())
 
 
+def _mixed(x):
+    """64-bit numbers, their bits spread (numpy wraps around)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(text: str | None, shingle: int, bands: int = BANDS, rows: int = ROWS):
+    """Keys of MinHash bands and the set of shingle marks (distinct, 32 bits each) of one text; none without words."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    hashes, width = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), min(shingle, len(words))
+    runs = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        runs = _mixed(runs + hashes[i : i + len(runs)] + np.uint64(i + 1))
+    runs = np.unique(runs)
+    factors = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    least, step = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64), 1 << 12
+    for at in range(0, len(runs), step):
+        least = np.minimum(least, (runs[at : at + step, None] * factors).min(axis=0))
+    keys = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = _mixed(keys + column)
+    return keys.view(np.int64), np.unique((runs >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, wide: int) -> DataFrame:
+    """fingerprints() and, of the wide shingles, cls (a hash of the marks), n (their number), bands and marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            # a few texts at once, so that what is handed over stays small
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
+                texts = some.column(1).to_pylist()
+                made = [sketch(t, wide) for t in texts]
+                fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+                cls = np.array([xxh64_intdigest(m.tobytes(), 7) for _, m in made], dtype=np.uint64).view(np.int64)
+                columns = [some.column(0), pa.array(fps), some.column(2), pa.array(cls), pa.array([len(m) for _, m in made], pa.int32()), pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([m for _, m in made], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "text_hash", "cls", "n", "bands", "marks"])
+
+    schema = f"id {df.schema[id_col].dataType.simpleString()}, fp long, text_hash long, cls long, n int, bands array<long>, marks array<int>"
+    return small_batches(df).select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, schema)
+
+
+def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
+    """u, v: fingerprints of texts whose sets of shingles have at least the given Jaccard similarity, among texts that share a band of MinHash values and are not yet of one component (nodes).
+
+    Texts with the same set of shingles take part once. In a bucket of up to ``few`` sets all pairs are compared; in a larger one every set is
+    compared with one of the bucket, another one in each of the bands, so that the work is linear in the members. Sets decide, all of them whole.
+    """
+    one = docs.where("n > 0").dropDuplicates(["cls"])
+    rooted = one.select("cls", "fp", "n", "bands").join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    keyed = rooted.select(F.struct("cls", "n", F.coalesce("root", "fp").alias("root")).alias("m"), F.posexplode("bands").alias("band", "key"))
+    order = F.struct(F.xxhash64("m.cls", "band").alias("o"), "m")
+    buckets = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(order).getField("m").alias("c"), F.min("m.root").alias("a"), F.max("m.root").alias("z")).where("size > 1 and a != z").drop("a", "z"))
+    members = cut(keyed.join(buckets, ["band", "key"]))
+    small = members.where(F.col("size") <= few)
+    pairs = small.select("band", "key", F.col("m").alias("x")).join(small.select("band", "key", F.col("m").alias("y")), ["band", "key"]).select("x", "y")
+    pairs = pairs.where("x.cls < y.cls").unionByName(members.where(F.col("size") > few).select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y")))
+    able = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    pairs = pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy")).distinct()
+    sets = one.select("cls", "fp", "marks")
+    both = pairs.join(sets.select(F.col("cls").alias("cx"), F.col("fp").alias("u"), F.col("marks").alias("mx")), "cx").join(sets.select(F.col("cls").alias("cy"), F.col("fp").alias("v"), F.col("marks").alias("my")), "cy")
+    shared = both.select("u", "v", F.size(F.array_intersect("mx", "my")).alias("s"), (F.size("mx") + F.size("my")).alias("t"))
+    return shared.where(F.col("s") >= similarity * (F.col("t") - F.col("s"))).select("u", "v").distinct()
+
+
+def _named(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs with component_id."""
+    tops = nodes.join(groups, nodes["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = groups.join(nodes, groups["fp"] == nodes["node"], "left").join(tops, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return docs.join(named, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest id of the component) and text_hash of every row."""
     docs = cut(fingerprints(df, id_col, text_col, shingle))
     groups = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = links(groups.select("fp"), max_bits)
-    nodes = components(edges)
-    tops = nodes.join(groups, nodes["node"] == groups["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = groups.join(nodes, groups["fp"] == nodes["node"], "left").join(tops, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    named = _named(docs, groups, components(links(groups.select("fp"), max_bits)))
+    return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """df with one row of each component: that of the smallest id. Rows of one id with different texts, or without an id, count as documents of their own unless a smaller id is in their component."""
-    named = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
-    rows = df.withColumn("__row_hash", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__row_hash") == F.col("__kept_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__row_hash"]).drop("__row_hash")
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, wide: int = WIDE) -> DataFrame:
+    """id, component_id and text_hash of every row: components of the links of fingerprints and of the links of texts of at least the given similarity of their shingles of ``wide`` words."""
+    docs = written(sketches(df, id_col, text_col, SHINGLE, wide))
+    groups = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    close = cut(links(groups.select("fp")))
+    edges = close.unionByName(similar(docs, cut(components(close)), similarity))
+    return _named(docs.select("id", "fp", "text_hash"), groups, components(edges)).select(F.col("id").alias(id_col), "component_id", "text_hash")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """df with one row of each component of similar_documents: that of the smallest id. Rows of one id with different texts, or without an id, count as documents of their own unless a smaller id is in their component."""
+    named = similar_documents(df, id_col, text_col, similarity)
+    # one key for the join and for repeated rows, so that texts are dealt once
+    kept = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).alias("__key")).distinct()
+    rows = df.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    return rows.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*df.columns)

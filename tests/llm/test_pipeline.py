@@ -16,11 +16,11 @@ def test_stages(spark, data):
     step = P.STAGES[0][1](spark, docs, data).persist()
     model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet")).ready()
     assert {r["doc_id"] for r in step.collect()} == {i for i, r in before.items() if model.score(r["text"]) < 0.5}
-    from test_simhash import slow_components, slow_fingerprint
+    from test_simhash import slow_components, slow_fingerprint, slow_sets
 
     kept = {r["doc_id"]: r["text"] for r in step.collect()}
     dedup = P.STAGES[1][1](spark, step, data).persist()
-    want = {c for _, _, c in slow_components([(i, slow_fingerprint(t)) for i, t in kept.items()])}
+    want = {c for _, _, c in slow_components([(i, slow_fingerprint(t)) for i, t in kept.items()], sets=[slow_sets(t) for t in kept.values()])}
     assert sorted(r["doc_id"] for r in dedup.collect()) == sorted(want)
     clean = P.STAGES[2][1](spark, dedup, data).persist()
     assert clean.count() == dedup.count()

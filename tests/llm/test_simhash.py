@@ -7,18 +7,31 @@ from pyspark.sql import functions as F
 from hypolake.llm import simhash
 
 
-def slow_fingerprint(t):
+def slow_words(t):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     for c in "\t\n\x0b\x0c\r":
         low = low.replace(c, " ")
-    words = [w for w in low.split(" ") if w]
+    return [w for w in low.split(" ") if w]
+
+
+def slow_fingerprint(t):
+    words = slow_words(t)
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(fps, bits=3):
-    """smallest id reachable, for (id, fp) rows."""
+def slow_sets(t, width=5):
+    words = slow_words(t)
+    return {tuple(words[i : i + width]) for i in range(max(len(words) - width, 0) + 1)} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / max(len(a | b), 1)
+
+
+def slow_components(fps, bits=3, sets=None):
+    """smallest id reachable, for (id, fp) rows; with sets, also over links of sets of a Jaccard similarity of 0.8 or more."""
     parent = list(range(len(fps)))
 
     def find(i):
@@ -28,7 +41,7 @@ def slow_components(fps, bits=3):
 
     for i, (_, a) in enumerate(fps):
         for j, (_, b) in enumerate(fps[:i]):
-            if bin(a ^ b).count("1") <= bits:
+            if bin(a ^ b).count("1") <= bits or (sets and jaccard(sets[i], sets[j]) >= 0.8):
                 parent[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(fps):
@@ -97,3 +110,59 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def edited(rng, words, level):
+    """The words with single ones replaced for as long as the similarity stays at the level or above."""
+    out, sets = list(words), slow_sets(" ".join(words))
+    while True:
+        more = list(out)
+        more[rng.randrange(len(more))] = f"new{rng.randrange(10**6)}"
+        if jaccard(sets, slow_sets(" ".join(more))) < level:
+            return out
+        out = more
+
+
+def test_recall_of_planted_copies(spark):
+    """At least nine of ten copies at each similarity are found, and texts below 0.8 stay apart."""
+    rng = random.Random(60)
+    names = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for level in (0.8, 0.9, 0.95, 0.7):
+        for _ in range(40):
+            words = [rng.choice(names) for _ in range(rng.choice([120, 400]))]
+            other = edited(rng, words, level)
+            pairs.append((len(rows), level, jaccard(slow_sets(" ".join(words)), slow_sets(" ".join(other)))))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    top = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    for level in (0.8, 0.9, 0.95):
+        found = [top[i] == top[i + 1] for i, at, _ in pairs if at == level]
+        assert sum(found) >= 0.9 * len(found), level
+    fps = {i: slow_fingerprint(t) for i, t in rows}
+    assert not any(top[i] == top[i + 1] for i, _, real in pairs if real < 0.8 and bin(fps[i] ^ fps[i + 1]).count("1") > 3)
+
+
+def test_groups_larger_than_a_bucket_that_is_compared_whole(spark):
+    """Near copies of a few texts, many more than FEW of each, against all pairs."""
+    rng = random.Random(61)
+    names = [f"w{i}" for i in range(2000)]
+    rows = []
+    for _ in range(4):
+        words = [rng.choice(names) for _ in range(150)]
+        rows += [(len(rows) + k, " ".join(edited(rng, words, 0.9))) for k in range(60)]
+    got = simhash.similar_documents(documents(spark, rows)).collect()
+    want = slow_components([(i, slow_fingerprint(t)) for i, t in rows], sets=[slow_sets(t) for _, t in rows])
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, top) for i, _, top in want]
+
+
+def test_wide_rule_on_the_tables(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    got = simhash.similar_documents(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    want = slow_components([(i, slow_fingerprint(t)) for i, t in rows], sets=[slow_sets(t) for _, t in rows])
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, top) for i, _, top in want]
+
+
+def test_wide_rule_takes_hard_rows(spark):
+    hard = documents(spark, hard_rows(random.Random(62)))
+    assert simhash.similar_documents(hard).count() == hard.count()
+    assert simhash.deduplicated(documents(spark, [])).count() == 0
