@@ -190,6 +190,7 @@ def sketch(text: str | None, shingle: int, bands: int = BANDS, rows: int = ROWS)
     keys = np.zeros(bands, np.uint64)
     for column in least.reshape(bands, rows).T:
         keys = _mixed(keys + column)
+    keys = _mixed(keys + np.arange(bands, dtype=np.uint64))  # the number of the band is part of its key
     return keys.view(np.int64), np.unique((runs >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
@@ -221,18 +222,20 @@ def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW
     Texts with the same set of shingles take part once. In a bucket of up to ``few`` sets all pairs are compared; in a larger one every set is
     compared with one of the bucket, another one in each of the bands, so that the work is linear in the members. Sets decide, all of them whole.
     """
-    one = docs.where("n > 0").dropDuplicates(["cls"])
-    rooted = one.select("cls", "fp", "n", "bands").join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    keyed = rooted.select(F.struct("cls", "n", F.coalesce("root", "fp").alias("root")).alias("m"), F.posexplode("bands").alias("band", "key"))
-    order = F.struct(F.xxhash64("m.cls", "band").alias("o"), "m")
-    buckets = cut(keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(order).getField("m").alias("c"), F.min("m.root").alias("a"), F.max("m.root").alias("z")).where("size > 1 and a != z").drop("a", "z"))
-    members = cut(keyed.join(buckets, ["band", "key"]))
-    small = members.where(F.col("size") <= few)
-    pairs = small.select("band", "key", F.col("m").alias("x")).join(small.select("band", "key", F.col("m").alias("y")), ["band", "key"]).select("x", "y")
-    pairs = pairs.where("x.cls < y.cls").unionByName(members.where(F.col("size") > few).select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y")))
+    one = docs.where("n > 0").select("cls", "fp", "n", "bands").dropDuplicates(["cls"])
+    rooted = one.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    keyed = rooted.select("cls", "n", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("z")).where("size > 1 and a != z").select("key", "size")
+    members = written(keyed.join(buckets, "key").select("key", "size", F.struct("cls", "n", "root").alias("m")))
+    small, large = members.where(F.col("size") <= few).select("key", "m"), members.where(F.col("size") > few).select("key", "m")
+    pairs = small.select("key", F.col("m").alias("x")).join(small.select("key", F.col("m").alias("y")), "key").where("x.cls < y.cls").select("x", "y")
+    centres = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("m.cls", "key").alias("o"), "m")).getField("m").alias("c"))
+    pairs = pairs.unionByName(large.join(centres, "key").select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y")))
     able = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
-    pairs = pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy")).distinct()
-    sets = one.select("cls", "fp", "marks")
+    pairs = written(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy")).distinct())
+    # only sets of a pair are dealt
+    wanted = pairs.select(F.col("cx").alias("cls")).union(pairs.select("cy")).distinct()
+    sets = docs.join(wanted, "cls", "left_semi").select("cls", "fp", "marks").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("cx"), F.col("fp").alias("u"), F.col("marks").alias("mx")), "cx").join(sets.select(F.col("cls").alias("cy"), F.col("fp").alias("v"), F.col("marks").alias("my")), "cy")
     shared = both.select("u", "v", F.size(F.array_intersect("mx", "my")).alias("s"), (F.size("mx") + F.size("my")).alias("t"))
     return shared.where(F.col("s") >= similarity * (F.col("t") - F.col("s"))).select("u", "v").distinct()
