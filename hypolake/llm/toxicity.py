@@ -54,6 +54,8 @@ APART, MOST = 3, 4
 #: Windows that the background and the first ordinary dictionaries are trained on, at most.
 BACKGROUND_WINDOWS = 60_000
 STEPS = (2, 3, 4, 5, 6)
+#: Fixed value: the last bytes before a zstandard dictionary's content, its repeat offsets 1, 4 and 8.
+CONTENT_AFTER = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 #: False alarms that a missed toxic document is worth.
 MISS_COST = 3.0
 
@@ -130,14 +132,14 @@ def _compressor(raw: bytes):
 
 
 def trained(samples: list[bytes], size: int, segment: int = 16, d: int = 6) -> bytes:
-    """Content of a zstandard dictionary of ``size`` bytes trained on samples; fewer samples than training takes stand for themselves."""
+    """Content of a zstandard dictionary of at most ``size`` bytes trained on samples; fewer samples than training takes stand for themselves."""
     import zstandard
 
     samples = list(samples)
     random.Random(7).shuffle(samples)
     try:
-        # the tables in front of the content are cut off: both sides are compared by content alone
-        return zstandard.train_dictionary(size + 300, samples, k=segment, d=d).as_bytes()[-size:]
+        # the tables in front of the content are cut off, also where it does not fill the size: both sides are compared by content alone
+        return zstandard.train_dictionary(size + 300, samples, k=segment, d=d).as_bytes().partition(CONTENT_AFTER)[2][-size:]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 

@@ -95,3 +95,14 @@ def test_windows_cover_whole_texts():
     assert list(toxicity.windows(None)) == [] and list(toxicity.windows("One")) == [b" one "]
     assert list(toxicity.windows("a b c")) == [b" a b c "]
     assert b"".join(toxicity.windows("x" * 100 + " y z a b c")).replace(b" ", b"") == b"x" * 100 + b"yzabc"
+
+
+def test_dictionaries_hold_text_only():
+    """Content alone, whether or not it fills the size; it is made of pieces of the samples."""
+    rng = random.Random(33)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(400)]
+    for n, size in ((300, 65_536), (3000, 65_536), (3000, 4096)):
+        samples = [(" " + " ".join(rng.choices(words, k=4)) + " ").encode() for _ in range(n)]
+        got = toxicity.trained(samples, size)
+        assert 0 < len(got) <= size
+        assert set(got) <= set(b"abcdefghij ")
