@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hypolake.operators.lineage import cut, ensure_checkpoint_dir
 
-__all__ = ["SPACE_CLASS", "cut", "small_batches", "table", "written"]
+__all__ = ["SPACE_CLASS", "cut", "small_batches", "table", "written", "written_in_turn"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -32,11 +33,19 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: smaller than a checkpoint where rows are many. It is deleted when the application ends."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return written_in_turn([df])
+
+
+def written_in_turn(parts: Iterable[DataFrame]) -> DataFrame:
+    """One Parquet table, in the shared folder until the application ends, of parts (of one schema, at least one) that are made and written one after another."""
+    path = spark = schema = None
+    for part in parts:
+        if path is None:
+            spark, schema = part.sparkSession, part.schema
+            ensure_checkpoint_dir(spark)
+            folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+            path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+        part.write.mode("append").parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)

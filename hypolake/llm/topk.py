@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hypolake.llm.common import written
+from hypolake.llm.common import written, written_in_turn
 
 #: Bits of a component in the index; rows and bytes of a block of candidates, at most; bytes of queries that are sent at once, about, and searched at once.
 KEPT_BITS, BLOCK_ROWS, BLOCK_BYTES, GROUP_BYTES, AT_ONCE = 6, 16_384, 1 << 25, 1 << 24, 64
@@ -262,11 +262,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
     blocks = index(df, id_col, vector_col, scale)
     if groups > 1:
         blocks, asked = written(blocks), written(asked)
-    found = None
-    for g in range(groups):
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+
+    def ranked(g: int) -> DataFrame:
         group = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).groupBy(F.size("v").alias("dim")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
         pairs = blocks.join(F.broadcast(group), "dim")  # about group_bytes
-        part = pairs.select(*BLOCK_COLUMNS, "queries").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = pairs.select(*BLOCK_COLUMNS, "queries").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # a query's rows all come from its own group, so that each group's k rows are final
+    return ranked(0) if groups == 1 else written_in_turn(ranked(g) for g in range(groups))

@@ -89,6 +89,8 @@ def test_many_groups_of_queries_and_stored_blocks(spark):
     df = frame(spark, rows).repartition(3)
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), group_bytes=500)
     assert sorted(tuple(r) for r in got.collect()) == slow(rows)
+    # groups were searched and written one after another: the result is a table, without their plans and broadcasts
+    assert "Broadcast" not in got._jdf.queryExecution().toString() and "Union" not in got._jdf.queryExecution().toString()
     for top in (90, 20_000, 1 << 40):
         values = np.array([[rng.randint(-top, top) for _ in range(5)] for _ in range(200)])
         block = topk.Block(np.arange(200), values)
