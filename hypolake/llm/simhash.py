@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from hypolake.llm.common import cut, small_batches, written
 
 SHINGLE, MAX_BITS, BLOCKS, SMALL, LARGE = 3, 3, 6, 48, 4096
-#: Of the wide rule: words of a shingle, similarity, MinHash bands and values in each (a pair at 0.8 shares a band with probability 0.998), and sets of a bucket that are all compared.
-WIDE, SIMILARITY, BANDS, ROWS, FEW = 5, 0.8, 16, 5, 8
+#: Of the wide rule: words of a shingle, similarity, MinHash bands and values in each (a pair at 0.8 shares a band with probability 0.998), sets of a bucket that are all compared at once, and of a piece of a larger one.
+WIDE, SIMILARITY, BANDS, ROWS, FEW, PIECE = 5, 0.8, 16, 5, 8, 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -219,8 +219,9 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, wide: int)
 def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
     """u, v: fingerprints of texts whose sets of shingles have at least the given Jaccard similarity, among texts that share a band of MinHash values and are not yet of one component (nodes).
 
-    Texts with the same set of shingles take part once. In a bucket of up to ``few`` sets all pairs are compared; in a larger one every set is
-    compared with one of the bucket, another one in each of the bands, so that the work is linear in the members. Sets decide, all of them whole.
+    Texts with the same set of shingles take part once. In a bucket of up to ``few`` sets all pairs are compared. In a larger one every set is
+    first compared with one of the bucket, another one in each of the bands, which joins near copies in work linear in the members; then all pairs
+    that are not yet of one component are, in pieces of a bucket. Sets decide, all of them whole.
     """
     one = docs.where("n > 0").select("cls", "fp", "n", "bands").dropDuplicates(["cls"])
     rooted = one.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
@@ -231,14 +232,30 @@ def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW
     pairs = small.select("key", F.col("m").alias("x")).join(small.select("key", F.col("m").alias("y")), "key").where("x.cls < y.cls").select("x", "y")
     centres = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("m.cls", "key").alias("o"), "m")).getField("m").alias("c"))
     pairs = pairs.unionByName(large.join(centres, "key").select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y")))
+    found = cut(_verified(docs, pairs, similarity))
+    if large.isEmpty():
+        return found.select("u", "v")
+    # the components that these links leave; only buckets with several go on
+    tops = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select("node", F.col("root").alias("top"))
+    left = large.select("key", "m.*").join(tops, F.col("root") == F.col("node"), "left").select("key", F.struct("cls", "n", F.coalesce("top", "root").alias("root")).alias("m"))
+    several = left.groupBy("key").agg(F.count("*").alias("size"), F.min("m.root").alias("a"), F.max("m.root").alias("z")).where("a != z").select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
+    left = written(left.join(several, "key"))
+    x = left.select("key", F.pmod(F.xxhash64("m.cls"), F.col("pieces")).cast("int").alias("piece"), F.col("m").alias("x"))
+    y = left.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("m").alias("y"))
+    rest = _verified(docs, x.join(y, ["key", "piece"]).where("x.cls < y.cls").select("x", "y"), similarity)
+    return found.select("u", "v").unionByName(rest.select("u", "v")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """u, v (fingerprints) and ru, rv (roots) of the pairs x, y of sets (cls, n, root) that are of different roots and similar."""
     able = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
-    pairs = written(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy")).distinct())
+    pairs = written(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy"), F.col("x.root").alias("ru"), F.col("y.root").alias("rv")).distinct())
     # only sets of a pair are dealt
     wanted = pairs.select(F.col("cx").alias("cls")).union(pairs.select("cy")).distinct()
     sets = docs.join(wanted, "cls", "left_semi").select("cls", "fp", "marks").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("cx"), F.col("fp").alias("u"), F.col("marks").alias("mx")), "cx").join(sets.select(F.col("cls").alias("cy"), F.col("fp").alias("v"), F.col("marks").alias("my")), "cy")
-    shared = both.select("u", "v", F.size(F.array_intersect("mx", "my")).alias("s"), (F.size("mx") + F.size("my")).alias("t"))
-    return shared.where(F.col("s") >= similarity * (F.col("t") - F.col("s"))).select("u", "v").distinct()
+    shared = both.select("u", "v", "ru", "rv", F.size(F.array_intersect("mx", "my")).alias("s"), (F.size("mx") + F.size("my")).alias("t"))
+    return shared.where(F.col("s") >= similarity * (F.col("t") - F.col("s"))).select("u", "v", "ru", "rv").distinct()
 
 
 def _named(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from helpers import documents, hard_rows, text
 from pyspark.sql import functions as F
@@ -166,3 +167,14 @@ def test_wide_rule_takes_hard_rows(spark):
     hard = documents(spark, hard_rows(random.Random(62)))
     assert simhash.similar_documents(hard).count() == hard.count()
     assert simhash.deduplicated(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1024, 3])
+def test_large_buckets_lose_no_similar_pair(spark, monkeypatch, piece):
+    """Twelve sets in one bucket, two and two alike: no set alone meets all partners."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    rows = [(i, i, 20, [7], [100 * (i // 2) + j for j in range(19)] + [10_000 + i]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "cls long, fp long, n int, bands array<long>, marks array<int>")
+    nodes = spark.createDataFrame([], "node long, root long")
+    got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.similar(docs, nodes, 0.8).collect()}
+    assert got == {(i, i + 1) for i in range(0, 12, 2)}
