@@ -14,10 +14,10 @@ so many bytes. Thresholds and weights are calibrated by a logistic curve on
 labelled documents that no dictionary has seen, at the labels' own share of toxic
 documents, where a missed toxic document counts as MISS_COST false alarms.
 
-The model is fitted on the driver from at most max_toxic + max_ordinary labelled
+The model is fitted in a task, from at most max_toxic + max_ordinary labelled
 documents, chosen by a hash of their ids; of a text over EXCERPT_FROM characters
-ten evenly spaced pieces take part, of EXCERPT_FROM characters together. Every
-document is scored, and whole.
+ten evenly spaced pieces take part, of EXCERPT_FROM characters together. The driver
+sees the dictionaries and weights only, no texts. Every document is scored, and whole.
 
 Defined cases: a null or empty text gets the curve's value for no window; without
 labelled documents of both kinds all scores are 0; a document labelled twice
@@ -229,7 +229,7 @@ def excerpt(text: Column) -> Column:
     return F.when(F.length(text) > EXCERPT_FROM, F.array_join(pieces, " ")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> tuple[list[tuple[int, str, int]], float | None]:
+def sampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> tuple[DataFrame, float | None]:
     """At most max_toxic + max_ordinary labelled documents outside the held-out fold, by a hash of their ids, and the share of toxic ones among all of them."""
     known = labels.where(remainder(id_col) != 0).groupBy(id_col).agg(F.max(label_col).alias("y")).where("y in (0, 1)")
     known = known.join(df.select(id_col), id_col, "left_semi")
@@ -237,11 +237,26 @@ def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     some = [known.where(F.col("y") == k).orderBy(F.xxhash64(id_col), id_col).limit(n) for k, n in ((1, max_toxic), (0, max_ordinary))]
     ids = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two limits
     texts = df.select(id_col, text_col).join(ids, id_col).groupBy(id_col, "y").agg(F.min(excerpt(F.col(text_col))).alias("x"))
-    return [(r[0], r["x"], r["y"]) for r in texts.collect()], counts[1] / counts[0] if counts[0] else None
+    return texts.select(id_col, "x", "y"), counts[1] / counts[0] if counts[0] else None
+
+
+def sample(df: DataFrame, labels: DataFrame, **names) -> tuple[list[tuple[int, str, int]], float | None]:
+    """``sampled``, with its rows."""
+    rows, share = sampled(df, labels, **names)
+    return [tuple(r) for r in rows.collect()], share
 
 
 def train(df: DataFrame, labels: DataFrame, **names) -> Model:
-    return fit(*sample(df, labels, **names))
+    """The model of the sample. One task fits it, as the sample is bounded and the driver may have little memory."""
+    rows, share = sampled(df, labels, **names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))], share)
+        parts = ([model.background], [model.ordinary], [model.toxic], [model.weights])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.float64())))], ["background", "ordinary", "toxic", "weights"])
+
+    fitted = small_batches(rows).coalesce(1).mapInArrow(run, "background binary, ordinary array<binary>, toxic array<binary>, weights array<double>").collect()
+    return Model(bytes(fitted[0][0]), *([bytes(d) for d in x] for x in fitted[0][1:3]), list(fitted[0][3])) if fitted else Model()
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,18 @@ def test_long_labelled_texts_take_part_in_pieces(spark):
         assert got[4][1] == "a"
 
 
+def test_the_driver_fits_nothing_and_the_model_is_that_of_the_sample(spark, monkeypatch):
+    rows, labels = corpus(random.Random(35), 200)
+    docs, lab = frames(spark, rows, labels)
+    want = toxicity.fit(*toxicity.sample(docs, lab))
+    monkeypatch.setattr(toxicity, "sample", None)  # gathers texts on the driver
+    real, here = toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda *a: here.append(a) or real(*a))
+    got = toxicity.train(docs, lab)
+    assert not here
+    assert want.known() and (got.background, got.ordinary, got.toxic, got.weights) == (want.background, want.ordinary, want.toxic, want.weights)
+
+
 def test_both_dictionaries_are_trained_on_windows():
     rng = random.Random(34)
     rows, labels = corpus(rng, 300)
