@@ -109,3 +109,11 @@ def test_alias_table_finds_what_a_scan_of_all_aliases_finds(spark):
     assert got == want and len(got) == len(set(texts))
     none = sponsors.canonical_names(names, "sponsor", sponsors.alias_table(spark, aliases).limit(0))
     assert none.count() == len(set(texts)) and sponsors.canonical_names(names.limit(0), "sponsor", sponsors.alias_table(spark, aliases)).count() == 0
+
+
+def test_patterns_of_parents_are_tried_on_marked_names_only(spark):
+    text = sponsors.lineage_parent(F.col("low"))._jc.toString()
+    assert len(sponsors.MARKS) == len(sponsors.LINEAGE) and all(m in text for m in sponsors.MARKS)
+    names = ["genzyme, a sanofi company", "x (subsidiary of roche inc.)", "y affiliate of msd , ltd", "z healthcare company of merck kgaa", "company", "subsidiary of", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "low string").select(sponsors.lineage_parent(F.col("low"))).collect()]
+    assert got == ["sanofi", "roche", "msd", "merck kgaa", None, None, None]
