@@ -30,13 +30,13 @@ empty table gives an empty result; columns other than the two named are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hypolake.llm.common import small_batches, written
+from hypolake.llm.common import passing, small_batches, written
 
 LENGTH, SEED = 20, 6
 #: Words of a document whose slices are fetched together.
@@ -281,8 +281,8 @@ def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
     return out
 
 
-def matches(base: DataFrame, kd: str, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Joined seeds: windows lo to lo + n - 1 of a document (kd, th) that stand at slo in (skd, sth) before; base has kd, th, text."""
+def matches(base: DataFrame, kd: str, length: int = LENGTH, seed: int = SEED, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Joined seeds: windows lo to lo + n - 1 of a document (kd, th) that stand at slo in (skd, sth) before; base has kd, th, text. ``written`` keeps what is read more than once."""
     seed = min(seed, length)
     # aggregates are written before they are joined, so that a join of two plain exchanges is left, whose hot keys adaptive execution splits
     shared = written(base.select("text").mapInArrow(_anchors(length, seed), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
@@ -316,7 +316,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: n_words, n_removed (words in a window of ``length`` words that starts earlier, too), the digest of the other words joined by blanks, and the maximal repeats removed as spans of words."""
     kd = df.schema[id_col].dataType.simpleString()
     base = small_batches(df).select(F.col(id_col).alias("kd"), F.coalesce(text_col, F.lit("")).alias("text")).select("kd", F.hash("text").alias("th"), "text")
-    rows = written(in_rows(matches(base, kd, length, seed)))
+    with passing(df.sparkSession) as keep:  # seeds and windows, many times the rows, are not read again
+        rows = written(in_rows(matches(base, kd, length, seed, keep)))
     wanted = rows.select("skd", "sth", "s", "n").distinct().groupBy("skd", "sth", F.floor(F.col("s") / BLOCK)).agg(F.collect_list(F.struct("s", "n")).alias("wanted")).select("skd", "sth", "wanted")
     places = base.join(wanted, _same(base, wanted, ("kd", "skd"), ("th", "sth"))).select("kd", "th", "text", "wanted")
     slices = written(places.mapInArrow(_slices(length), f"skd {kd}, sth int, s int, n int, front int, slice string"))

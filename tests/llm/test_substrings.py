@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 from helpers import documents, hard_rows, text
 
-from hypolake.llm import substrings
+from hypolake.llm import common, substrings
 
 
 def split(t):
@@ -118,3 +120,30 @@ def test_extension_decides_on_words():
     assert substrings.extended(w, other, 5, (8, 40), 20) == [(5, 30)]
     assert substrings.extended(w, [b"x"] * 45, 5, (8, 40), 20) == []
     assert substrings.extended(w, [b"x", *w[:25]], -1, (0, 20), 20) == [(0, 25)]
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_nothing_that_was_read_stays_on_disk(spark, monkeypatch):
+    """Shuffles end with the tables they were made for; seeds and windows are gone when the result is asked for."""
+    made = []
+    whole = common.written_in_turn
+    monkeypatch.setattr(common, "written_in_turn", lambda *a: made.append(whole(*a)) or made[-1])
+    rng = random.Random(20)
+    passage = text(rng, 50)
+    rows = [(i, f"{text(rng, i % 5)} {passage} {text(rng, 9)}") for i in range(40)]
+    before = shuffle_files(spark)
+    out = substrings.remove_repeats(documents(spark, rows))
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    gone = [not Path(t.inputFiles()[0].removeprefix("file:")).exists() if t.inputFiles() else True for t in made]
+    assert len(gone) == 7 and all(gone[:5]) and not any(gone[5:])
+    assert spark.conf.get(common.SHUFFLES_END) == "false"
+    assert sorted(tuple(r)[:4] for r in out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == slow(rows)
