@@ -35,7 +35,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hypolake.llm.common import cut, small_batches, written
@@ -220,8 +220,9 @@ def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW
     """u, v: fingerprints of texts whose sets of shingles have at least the given Jaccard similarity, among texts that share a band of MinHash values and are not yet of one component (nodes).
 
     Texts with the same set of shingles take part once. In a bucket of up to ``few`` sets all pairs are compared. In a larger one every set is
-    first compared with one of the bucket, another one in each of the bands, which joins near copies in work linear in the members; then all pairs
-    that are not yet of one component are, in pieces of a bucket. Sets decide, all of them whole.
+    first compared with one of the bucket, another one in each of the bands, which joins near copies in work linear in the members. Where several
+    components are left, every set is compared with the middle of its bucket (see _middles), and then with those of other components that what is
+    known of both does not rule out (see _open_pairs). Sets decide, all of them whole.
     """
     one = docs.where("n > 0").select("cls", "fp", "n", "bands").dropDuplicates(["cls"])
     rooted = one.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
@@ -236,26 +237,86 @@ def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW
     if large.isEmpty():
         return found.select("u", "v")
     # the components that these links leave; only buckets with several go on
-    tops = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select("node", F.col("root").alias("top"))
-    left = large.select("key", "m.*").join(tops, F.col("root") == F.col("node"), "left").select("key", F.struct("cls", "n", F.coalesce("top", "root").alias("root")).alias("m"))
-    several = left.groupBy("key").agg(F.count("*").alias("size"), F.min("m.root").alias("a"), F.max("m.root").alias("z")).where("a != z").select("key", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
-    left = written(left.join(several, "key"))
-    x = left.select("key", F.pmod(F.xxhash64("m.cls"), F.col("pieces")).cast("int").alias("piece"), F.col("m").alias("x"))
-    y = left.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("m").alias("y"))
-    rest = _verified(docs, x.join(y, ["key", "piece"]).where("x.cls < y.cls").select("x", "y"), similarity)
-    return found.select("u", "v").unionByName(rest.select("u", "v")).distinct()
+    left = written(_several(_regrouped(large.select("key", "m.*"), found)))
+    if left.isEmpty():
+        return found.select("u", "v")
+    stars = written(left.join(_middles(docs, left), ["key", "cls"]))
+    asked = written(stars.where("cls != cy").select(F.col("cls").alias("cx"), "cy", F.col("root").alias("ru"), "rv").distinct())
+    met = written(_shared(docs, asked))
+    close = cut(met.where("ru != rv").where(_alike("s", "t", similarity)).select("u", "v", "ru", "rv").distinct())
+    known = stars.join(met.select(F.col("cx").alias("cls"), "cy", "s"), ["cls", "cy"], "left").withColumn("s", F.coalesce("s", "n"))
+    # what a set has beyond its middle, how much of that other sets may have, and what it lacks of the middle
+    known = known.select("key", "cls", "root", F.struct((F.col("n") - F.col("s")).alias("more"), F.greatest(F.col("n") - F.col("s") - F.col("own"), F.lit(0)).alias("open"), (F.col("ny") - F.col("s")).alias("less"), "n").alias("p"))
+    rest = _verified(docs, _open_pairs(written(_several(_regrouped(known, close))), similarity), similarity)
+    return found.select("u", "v").unionByName(close.select("u", "v")).unionByName(rest.select("u", "v")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """u, v (fingerprints) and ru, rv (roots) of the pairs x, y of sets (cls, n, root) that are of different roots and similar."""
-    able = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
-    pairs = written(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy"), F.col("x.root").alias("ru"), F.col("y.root").alias("rv")).distinct())
+def _alike(shared: str, sizes: str, similarity: float) -> Column:
+    """Whether two sets are similar, by the number of what they share and the sum of their sizes."""
+    return F.col(shared) >= similarity * (F.col(sizes) - F.col(shared))
+
+
+def _regrouped(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members, their roots those of the components that the links found between roots (ru, rv) make."""
+    tops = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return members.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one root."""
+    return members.join(members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("key"), "key", "left_semi")
+
+
+def _middles(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """For every set of a bucket: key, cls, own (how many of its marks no other set has), and the bucket's middle: cy, its size ny and root rv.
+
+    The middle is the set with most of the marks that are frequent among these sets and fewest of the others, so that others differ from it as little as they can.
+    """
+    marks = docs.join(left.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", F.explode("marks").alias("mark"))
+    counted = marks.join(marks.groupBy("mark").agg(F.count("*").alias("f")), "mark").groupBy("cls")
+    standing = counted.agg(F.sum(F.when(F.col("f") == 1, 1).otherwise(0)).cast("int").alias("own"), (2 * F.sum("f") / F.max("f") - F.count("*")).alias("o"))
+    ranked = written(left.join(standing, "cls"))
+    top = ranked.groupBy("key").agg(F.max(F.struct("o", "cls", "n", "root")).alias("c")).select("key", F.col("c.cls").alias("cy"), F.col("c.n").alias("ny"), F.col("c.root").alias("rv"))
+    return ranked.select("key", "cls", "own").join(top, "key")
+
+
+def _open_pairs(known: DataFrame, similarity: float) -> DataFrame:
+    """x, y (cls, n, root): all pairs of a bucket, of different roots, that may be similar by what is known of each (p) against the bucket's middle.
+
+    Marks in just one of two sets are those in just one of their differences from any third set. Of what they have beyond it, they share at most the
+    smaller ``open`` part; what one lacks more than the other, the other has. Sets that are alike in this are told apart as one, and expanded only if a pair is left.
+    """
+    groups = known.groupBy("key", "p", "root").agg(F.count("*").alias("size"))
+    kinds = written(groups.groupBy("key", "p").agg(F.min("root").alias("a"), F.max("root").alias("z")))
+    x, y = kinds.select("key", "p", "a", "z"), kinds.select("key", F.col("p").alias("q"), F.col("a").alias("b"), F.col("z").alias("w"))
+    apart = F.col("p.more") + F.col("q.more") - 2 * F.least("p.open", "q.open") + F.abs(F.col("p.less") - F.col("q.less"))
+    may = apart * (1 + similarity) <= (F.col("p.n") + F.col("q.n")) * (1 - similarity) + 1e-6
+    fit = x.join(y, "key").where((F.col("p") <= F.col("q")) & may & (F.least("a", "b") != F.greatest("z", "w"))).select("key", "p", "q")
+    two = fit.join(groups, ["key", "p"]).join(groups.select("key", F.col("p").alias("q"), F.col("root").alias("other")), ["key", "q"])
+    two = written(two.where((F.col("root") != F.col("other")) & ((F.col("p") < F.col("q")) | (F.col("root") < F.col("other")))))
+    # a large group meets its partners in pieces
+    piece = lambda n: F.ceil(F.col(n) / PIECE).cast("int")
+    dealt = two.select("key", "p", "root", "q", "other", F.explode(F.sequence(F.lit(0), piece("size") - 1)).alias("piece"))
+    of = lambda n: F.struct("cls", F.col(f"{n}.n").alias("n"), "root")
+    left = known.join(groups, ["key", "p", "root"]).select("key", "p", "root", F.pmod(F.xxhash64("cls"), piece("size")).cast("int").alias("piece"), of("p").alias("x"))
+    right = known.select("key", F.col("p").alias("q"), F.col("root").alias("other"), of("p").alias("y"))
+    return dealt.join(left, ["key", "p", "root", "piece"]).join(right, ["key", "q", "other"]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _shared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (written; of sets cx, cy) with fingerprints u, v, the number s of marks that both have and the sum t of their sizes."""
     # only sets of a pair are dealt
     wanted = pairs.select(F.col("cx").alias("cls")).union(pairs.select("cy")).distinct()
     sets = docs.join(wanted, "cls", "left_semi").select("cls", "fp", "marks").dropDuplicates(["cls"])
     both = pairs.join(sets.select(F.col("cls").alias("cx"), F.col("fp").alias("u"), F.col("marks").alias("mx")), "cx").join(sets.select(F.col("cls").alias("cy"), F.col("fp").alias("v"), F.col("marks").alias("my")), "cy")
-    shared = both.select("u", "v", "ru", "rv", F.size(F.array_intersect("mx", "my")).alias("s"), (F.size("mx") + F.size("my")).alias("t"))
-    return shared.where(F.col("s") >= similarity * (F.col("t") - F.col("s"))).select("u", "v", "ru", "rv").distinct()
+    return both.select(*pairs.columns, "u", "v", F.size(F.array_intersect("mx", "my")).alias("s"), (F.size("mx") + F.size("my")).alias("t"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """u, v (fingerprints) and ru, rv (roots) of the pairs x, y of sets (cls, n, root) that are of different roots and similar."""
+    able = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    pairs = written(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy"), F.col("x.root").alias("ru"), F.col("y.root").alias("rv")).distinct())
+    return _shared(docs, pairs).where(_alike("s", "t", similarity)).select("u", "v", "ru", "rv").distinct()
 
 
 def _named(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:

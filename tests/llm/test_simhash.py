@@ -178,3 +178,49 @@ def test_large_buckets_lose_no_similar_pair(spark, monkeypatch, piece):
     nodes = spark.createDataFrame([], "node long, root long")
     got = {tuple(sorted((r["u"], r["v"]))) for r in simhash.similar(docs, nodes, 0.8).collect()}
     assert got == {(i, i + 1) for i in range(0, 12, 2)}
+
+
+def near_copies(rng, n):
+    """Sets of marks, most a few marks off one of two middles, some of them sharing what they have beyond it, all in one bucket; and a count of pairs that are similar."""
+    bases = [list(range(k * 1000, k * 1000 + 100)) for k in (0, 1)]
+    extra = [rng.sample(range(100_000, 200_000), 12) for _ in range(6)]
+    sets = {}
+    for i in range(n):
+        marks = set(bases[i % 8 == 0])
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
+            at = rng.randrange(96)
+            marks -= set(sorted(marks)[at : at + 4])
+            marks |= set(rng.sample(range(1_000_000, 1_000_000_000), 4))
+        if i % 5 == 0:
+            marks |= set(rng.choice(extra))
+        sets[i] = marks
+    return sets
+
+
+@pytest.mark.parametrize("piece", [1024, 3])
+def test_near_copies_of_one_bucket_make_few_pairs(spark, monkeypatch, piece):
+    """Same components as all pairs make, without comparing a square of the bucket's sets."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    sets = near_copies(random.Random(63), 240)
+    docs = spark.createDataFrame([(i, i, len(m), [7], sorted(m)) for i, m in sets.items()], "cls long, fp long, n int, bands array<long>, marks array<int>").cache()
+    asked = []
+    whole = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda d, pairs, s: asked.append(pairs.count()) or whole(d, pairs, s))
+    got = [(r["u"], r["v"]) for r in simhash.similar(docs, spark.createDataFrame([], "node long, root long"), 0.8).collect()]
+    assert all(jaccard(sets[u], sets[v]) >= 0.8 for u, v in got)
+    parent = {True: {i: i for i in sets}, False: {i: i for i in sets}}
+
+    def find(p, i):
+        while p[i] != i:
+            i = p[i]
+        return i
+
+    for u, v in got:
+        parent[True][find(parent[True], u)] = find(parent[True], v)
+    for u in sets:
+        for v in range(u):
+            if jaccard(sets[u], sets[v]) >= 0.8:
+                parent[False][find(parent[False], u)] = find(parent[False], v)
+    groups = [{frozenset(j for j in sets if find(p, j) == find(p, i)) for i in sets} for p in parent.values()]
+    assert groups[0] == groups[1] and 2 < len(groups[0]) < 200
+    assert sum(asked) < 240 * 239 / 2 / 4
