@@ -15,7 +15,9 @@ Buckets come in three sizes, each exact:
   linear in the members and no bucket is gathered anywhere.
 
 Components come from alternating large-star and small-star steps on the links of
-fingerprints, each step cut by a checkpoint.
+fingerprints, each step written to a table. Tables of steps are deleted as soon as
+nothing reads them; what is written does not make empty files or tasks, and its
+shuffles end with it.
 
 Fingerprints of 64 bits cannot tell texts at a similarity of 0.8 from others: such
 pairs differ in some ten bits. ``deduplicated`` therefore adds to the links of
@@ -31,14 +33,14 @@ other than the two named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hypolake.llm.common import cut, small_batches, written
+from hypolake.llm.common import passing, small_batches, written
 
 SHINGLE, MAX_BITS, BLOCKS, SMALL, LARGE = 3, 3, 6, 48, 4096
 #: Of the wide rule: words of a shingle, similarity, MinHash bands and values in each (a pair at 0.8 shares a band with probability 0.998), sets of a bucket that are all compared at once, and of a piece of a larger one.
@@ -129,36 +131,38 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, small: int = SMALL, large: i
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks()])).alias("choice", "key"))
     sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
-    sizes = cut(sizes)
-    pairs = sizes.where("n = 2").where(close("u", "v")).select("u", "v")
-    members = cut(keyed.join(sizes.where("n > 2").select("choice", "key", "n"), ["choice", "key"]))
-    few = members.where(F.col("n") <= small)
-    a, b = few.select("choice", "key", F.col("fp").alias("u")), few.select("choice", "key", F.col("fp").alias("v"))
-    in_few = a.join(b, ["choice", "key"]).where((F.col("u") < F.col("v")) & close("u", "v")).select("u", "v")
-    in_some = members.where((F.col("n") > small) & (F.col("n") <= large)).groupBy("choice", "key").applyInPandas(_forest(max_bits), "u long, v long")
-    in_many = _variants(members.where(F.col("n") > large).select("fp").distinct(), max_bits)
-    found = pairs.unionByName(in_few).unionByName(in_some).unionByName(in_many)
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node and root (the component's smallest node) for every node of the links u, v."""
-    small = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").distinct()
-        roots = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(roots, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u != v").distinct()
-        small = cut(small)
-        after = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return small.select(F.col("v").alias("node"), F.col("u").alias("root")).union(small.select("u", "u").distinct())
+    with passing(fps.sparkSession) as keep:
+        sizes = keep(sizes)
+        pairs = sizes.where("n = 2").where(close("u", "v")).select("u", "v")
+        members = keep(keyed.join(sizes.where("n > 2").select("choice", "key", "n"), ["choice", "key"]))
+        few = members.where(F.col("n") <= small)
+        a, b = few.select("choice", "key", F.col("fp").alias("u")), few.select("choice", "key", F.col("fp").alias("v"))
+        in_few = a.join(b, ["choice", "key"]).where((F.col("u") < F.col("v")) & close("u", "v")).select("u", "v")
+        in_some = members.where((F.col("n") > small) & (F.col("n") <= large)).groupBy("choice", "key").applyInPandas(_forest(max_bits), "u long, v long")
+        in_many = _variants(members.where(F.col("n") > large).select("fp").distinct(), max_bits)
+        found = pairs.unionByName(in_few).unionByName(in_some).unionByName(in_many)
+        return written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+
+def components(edges: DataFrame, max_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """node and root (the component's smallest node) for every node of the links u, v, as a table that ``keep`` writes."""
+    with passing(edges.sparkSession) as step:
+        small = step(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct())
+        before = None
+        for _ in range(max_rounds):
+            both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v")  # with copies, which end below
+            roots = large.groupBy("v").agg(F.min("u").alias("m"))
+            small = large.join(roots, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u != v").distinct()
+            small = step(small)
+            after = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if after == before or not after[0]:
+                break
+            before = after
+        else:
+            raise RuntimeError("components did not settle")
+        return keep(small.select(F.col("v").alias("node"), F.col("u").alias("root")).union(small.select("u", "u").distinct()))
 
 
 def _mixed(x):
@@ -224,31 +228,33 @@ def similar(docs: DataFrame, nodes: DataFrame, similarity: float, few: int = FEW
     components are left, every set is compared with the middle of its bucket (see _middles), and then with those of other components that what is
     known of both does not rule out (see _open_pairs). Sets decide, all of them whole.
     """
-    one = docs.where("n > 0").select("cls", "fp", "n", "bands").dropDuplicates(["cls"])
-    rooted = one.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    keyed = rooted.select("cls", "n", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("z")).where("size > 1 and a != z").select("key", "size")
-    members = written(keyed.join(buckets, "key").select("key", "size", F.struct("cls", "n", "root").alias("m")))
-    small, large = members.where(F.col("size") <= few).select("key", "m"), members.where(F.col("size") > few).select("key", "m")
-    pairs = small.select("key", F.col("m").alias("x")).join(small.select("key", F.col("m").alias("y")), "key").where("x.cls < y.cls").select("x", "y")
-    centres = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("m.cls", "key").alias("o"), "m")).getField("m").alias("c"))
-    pairs = pairs.unionByName(large.join(centres, "key").select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y")))
-    found = cut(_verified(docs, pairs, similarity))
-    if large.isEmpty():
-        return found.select("u", "v")
-    # the components that these links leave; only buckets with several go on
-    left = written(_several(_regrouped(large.select("key", "m.*"), found)))
-    if left.isEmpty():
-        return found.select("u", "v")
-    stars = written(left.join(_middles(docs, left), ["key", "cls"]))
-    asked = written(stars.where("cls != cy").select(F.col("cls").alias("cx"), "cy", F.col("root").alias("ru"), "rv").distinct())
-    met = written(_shared(docs, asked))
-    close = cut(met.where("ru != rv").where(_alike("s", "t", similarity)).select("u", "v", "ru", "rv").distinct())
-    known = stars.join(met.select(F.col("cx").alias("cls"), "cy", "s"), ["cls", "cy"], "left").withColumn("s", F.coalesce("s", "n"))
-    # what a set has beyond its middle, how much of that other sets may have, and what it lacks of the middle
-    known = known.select("key", "cls", "root", F.struct((F.col("n") - F.col("s")).alias("more"), F.greatest(F.col("n") - F.col("s") - F.col("own"), F.lit(0)).alias("open"), (F.col("ny") - F.col("s")).alias("less"), "n").alias("p"))
-    rest = _verified(docs, _open_pairs(written(_several(_regrouped(known, close))), similarity), similarity)
-    return found.select("u", "v").unionByName(close.select("u", "v")).unionByName(rest.select("u", "v")).distinct()
+    with passing(docs.sparkSession) as keep:
+        one = docs.where("n > 0").select("cls", "fp", "n", "bands").dropDuplicates(["cls"])
+        rooted = one.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        keyed = rooted.select("cls", "n", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("key"))
+        buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("z")).where("size > 1 and a != z").select("key", "size")
+        members = keep(keyed.join(buckets, "key").select("key", "size", F.struct("cls", "n", "root").alias("m")))
+        small, large = members.where(F.col("size") <= few).select("key", "m"), members.where(F.col("size") > few).select("key", "m")
+        pairs = small.select("key", F.col("m").alias("x")).join(small.select("key", F.col("m").alias("y")), "key").where("x.cls < y.cls").select("x", "y")
+        centres = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("m.cls", "key").alias("o"), "m")).getField("m").alias("c"))
+        pairs = pairs.unionByName(large.join(centres, "key").select(F.least("m", "c").alias("x"), F.greatest("m", "c").alias("y")))
+        found = _verified(docs, pairs, similarity)
+        if large.isEmpty():
+            return found.select("u", "v")
+        # the components that these links leave; only buckets with several go on
+        left = keep(_several(_regrouped(large.select("key", "m.*"), found, keep)))
+        if left.isEmpty():
+            return found.select("u", "v")
+        stars = keep(left.join(_middles(docs, left, keep), ["key", "cls"]))
+        asked = keep(stars.where("cls != cy").select(F.col("cls").alias("cx"), "cy", F.col("root").alias("ru"), "rv").distinct())
+        met = keep(_shared(docs, asked))
+        close = keep(met.where("ru != rv").where(_alike("s", "t", similarity)).select("u", "v", "ru", "rv").distinct())
+        known = stars.join(met.select(F.col("cx").alias("cls"), "cy", "s"), ["cls", "cy"], "left").withColumn("s", F.coalesce("s", "n"))
+        # what a set has beyond its middle, how much of that other sets may have, and what it lacks of the middle
+        known = known.select("key", "cls", "root", F.struct((F.col("n") - F.col("s")).alias("more"), F.greatest(F.col("n") - F.col("s") - F.col("own"), F.lit(0)).alias("open"), (F.col("ny") - F.col("s")).alias("less"), "n").alias("p"))
+        known = keep(_several(_regrouped(known, close, keep)))
+        rest = _verified(docs, _open_pairs(known, similarity, keep), similarity)
+        return written(found.select("u", "v").unionByName(close.select("u", "v")).unionByName(rest.select("u", "v")).distinct())
 
 
 def _alike(shared: str, sizes: str, similarity: float) -> Column:
@@ -256,9 +262,9 @@ def _alike(shared: str, sizes: str, similarity: float) -> Column:
     return F.col(shared) >= similarity * (F.col(sizes) - F.col(shared))
 
 
-def _regrouped(members: DataFrame, found: DataFrame) -> DataFrame:
+def _regrouped(members: DataFrame, found: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """members, their roots those of the components that the links found between roots (ru, rv) make."""
-    tops = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    tops = components(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")), keep=keep).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return members.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
@@ -267,7 +273,7 @@ def _several(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("key"), "key", "left_semi")
 
 
-def _middles(docs: DataFrame, left: DataFrame) -> DataFrame:
+def _middles(docs: DataFrame, left: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """For every set of a bucket: key, cls, own (how many of its marks no other set has), and the bucket's middle: cy, its size ny and root rv.
 
     The middle is the set with most of the marks that are frequent among these sets and fewest of the others, so that others differ from it as little as they can.
@@ -275,25 +281,25 @@ def _middles(docs: DataFrame, left: DataFrame) -> DataFrame:
     marks = docs.join(left.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", F.explode("marks").alias("mark"))
     counted = marks.join(marks.groupBy("mark").agg(F.count("*").alias("f")), "mark").groupBy("cls")
     standing = counted.agg(F.sum(F.when(F.col("f") == 1, 1).otherwise(0)).cast("int").alias("own"), (2 * F.sum("f") / F.max("f") - F.count("*")).alias("o"))
-    ranked = written(left.join(standing, "cls"))
+    ranked = keep(left.join(standing, "cls"))
     top = ranked.groupBy("key").agg(F.max(F.struct("o", "cls", "n", "root")).alias("c")).select("key", F.col("c.cls").alias("cy"), F.col("c.n").alias("ny"), F.col("c.root").alias("rv"))
     return ranked.select("key", "cls", "own").join(top, "key")
 
 
-def _open_pairs(known: DataFrame, similarity: float) -> DataFrame:
+def _open_pairs(known: DataFrame, similarity: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """x, y (cls, n, root): all pairs of a bucket, of different roots, that may be similar by what is known of each (p) against the bucket's middle.
 
     Marks in just one of two sets are those in just one of their differences from any third set. Of what they have beyond it, they share at most the
     smaller ``open`` part; what one lacks more than the other, the other has. Sets that are alike in this are told apart as one, and expanded only if a pair is left.
     """
     groups = known.groupBy("key", "p", "root").agg(F.count("*").alias("size"))
-    kinds = written(groups.groupBy("key", "p").agg(F.min("root").alias("a"), F.max("root").alias("z")))
+    kinds = keep(groups.groupBy("key", "p").agg(F.min("root").alias("a"), F.max("root").alias("z")))
     x, y = kinds.select("key", "p", "a", "z"), kinds.select("key", F.col("p").alias("q"), F.col("a").alias("b"), F.col("z").alias("w"))
     apart = F.col("p.more") + F.col("q.more") - 2 * F.least("p.open", "q.open") + F.abs(F.col("p.less") - F.col("q.less"))
     may = apart * (1 + similarity) <= (F.col("p.n") + F.col("q.n")) * (1 - similarity) + 1e-6
     fit = x.join(y, "key").where((F.col("p") <= F.col("q")) & may & (F.least("a", "b") != F.greatest("z", "w"))).select("key", "p", "q")
     two = fit.join(groups, ["key", "p"]).join(groups.select("key", F.col("p").alias("q"), F.col("root").alias("other")), ["key", "q"])
-    two = written(two.where((F.col("root") != F.col("other")) & ((F.col("p") < F.col("q")) | (F.col("root") < F.col("other")))))
+    two = keep(two.where((F.col("root") != F.col("other")) & ((F.col("p") < F.col("q")) | (F.col("root") < F.col("other")))))
     # a large group meets its partners in pieces
     piece = lambda n: F.ceil(F.col(n) / PIECE).cast("int")
     dealt = two.select("key", "p", "root", "q", "other", F.explode(F.sequence(F.lit(0), piece("size") - 1)).alias("piece"))
@@ -315,8 +321,9 @@ def _shared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """u, v (fingerprints) and ru, rv (roots) of the pairs x, y of sets (cls, n, root) that are of different roots and similar."""
     able = (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
-    pairs = written(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy"), F.col("x.root").alias("ru"), F.col("y.root").alias("rv")).distinct())
-    return _shared(docs, pairs).where(_alike("s", "t", similarity)).select("u", "v", "ru", "rv").distinct()
+    with passing(docs.sparkSession) as keep:
+        pairs = keep(pairs.where(able).select(F.col("x.cls").alias("cx"), F.col("y.cls").alias("cy"), F.col("x.root").alias("ru"), F.col("y.root").alias("rv")).distinct())
+        return written(_shared(docs, pairs).where(_alike("s", "t", similarity)).select("u", "v", "ru", "rv").distinct())
 
 
 def _named(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -328,7 +335,7 @@ def _named(docs: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest id of the component) and text_hash of every row."""
-    docs = cut(fingerprints(df, id_col, text_col, shingle))
+    docs = written(fingerprints(df, id_col, text_col, shingle))
     groups = docs.groupBy("fp").agg(F.min("id").alias("least"))
     named = _named(docs, groups, components(links(groups.select("fp"), max_bits)))
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
@@ -336,11 +343,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, wide: int = WIDE) -> DataFrame:
     """id, component_id and text_hash of every row: components of the links of fingerprints and of the links of texts of at least the given similarity of their shingles of ``wide`` words."""
-    docs = written(sketches(df, id_col, text_col, SHINGLE, wide))
-    groups = docs.groupBy("fp").agg(F.min("id").alias("least"))
-    close = cut(links(groups.select("fp")))
-    edges = close.unionByName(similar(docs, cut(components(close)), similarity))
-    return _named(docs.select("id", "fp", "text_hash"), groups, components(edges)).select(F.col("id").alias(id_col), "component_id", "text_hash")
+    with passing(df.sparkSession) as keep:  # sets of shingles, by far the most, are not read again
+        docs = keep(sketches(df, id_col, text_col, SHINGLE, wide))
+        groups = docs.groupBy("fp").agg(F.min("id").alias("least"))
+        close = links(groups.select("fp"))
+        nodes = components(close.unionByName(similar(docs, components(close, keep=keep), similarity)), keep=keep)
+        return written(_named(docs.select("id", "fp", "text_hash"), groups, nodes).select(F.col("id").alias(id_col), "component_id", "text_hash"))
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

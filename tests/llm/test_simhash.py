@@ -1,11 +1,12 @@
 import random
+import uuid
 
 import pytest
 import xxhash
 from helpers import documents, hard_rows, text
 from pyspark.sql import functions as F
 
-from hypolake.llm import simhash
+from hypolake.llm import common, simhash
 
 
 def slow_words(t):
@@ -224,3 +225,19 @@ def test_near_copies_of_one_bucket_make_few_pairs(spark, monkeypatch, piece):
     groups = [{frozenset(j for j in sets if find(p, j) == find(p, i)) for i in sets} for p in parent.values()]
     assert groups[0] == groups[1] and 2 < len(groups[0]) < 200
     assert sum(asked) < 240 * 239 / 2 / 4
+
+
+def test_tables_and_shuffles_end_with_what_reads_them(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "_folder", lambda s: str(tmp_path / uuid.uuid4().hex))
+    cuts = []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "checkpoint", lambda df, eager=True, f=frame.checkpoint: cuts.append(df) or f(df, eager))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[: 380 + i] + [f"x{i}"])) for i in range(20)] + [(99, "another text of a few words")]
+    named = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({r["component_id"] for r in named.collect()}) == 2
+    # a checkpoint's shuffles would stay until the driver collects garbage; sets of shingles and steps of components would stay to the end
+    assert not cuts
+    left = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
+    assert ["doc_id", "component_id", "text_hash"] in left
+    assert not any({"marks", "bands", "key", "cx", "m"} & set(c) for c in left)
